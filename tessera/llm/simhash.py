@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, components, cut
+from tessera.llm.common import ASCII_LOWER, components, cut, drop_cut
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -100,49 +100,58 @@ def pairs_within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return lanes_of(within(lambda i, keep: x[i, keep], 64, x.shape[1:], radius), len(a))
 
 
-def forest(fps: np.ndarray, radius: int, batch: int = 32) -> list[tuple[int, int]]:
-    """Edges (i, j) that connect what links within `radius` connects among distinct fps; under batch * n of them."""
+def forest(fps: np.ndarray, radius: int, batch: int = 32) -> np.ndarray:
+    """Edges (i, j) that connect what links within `radius` connects among distinct fps: one a row, and one for
+    each two trees that grow from the same batch and meet."""
     n, edges = len(fps), []
-    left = np.arange(n)
-    table, frontier = planes(fps), []
+    left, root = np.arange(n), np.arange(n)
+    table, frontier, parent = planes(fps), np.zeros(0, np.int64), {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
     while len(left):
-        if not frontier:
+        if not len(frontier):
             heads = left[:batch]
             near = np.bitwise_count(fps[heads][:, None] ^ fps[heads][None, :]) <= radius
-            edges += [(int(heads[i]), int(heads[j])) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+            for i, j in np.argwhere(np.triu(near, 1)):
+                a, b = find(int(heads[i])), find(int(heads[j]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    edges.append(np.array([[heads[i], heads[j]]]))
             left = left[batch:]
             table = planes(fps[left])
         else:
-            heads, frontier = np.array(frontier[:batch]), frontier[batch:]
+            heads, frontier = frontier[:batch], frontier[batch:]
         if not len(left):
             break
         flip = np.where((fps[heads][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), ONES, np.uint64(0))
         hit = lanes_of(within(lambda b, keep, t=table, f=flip: t[b][keep][None, :] ^ f[:, b][:, None], 64, (len(heads), table.shape[1]), radius), len(left))
         reached = hit.any(axis=0)
-        if reached.any():
-            # a lane that several heads reach joins them, so each of those edges counts
-            edges += [(int(heads[i]), int(left[j])) for i, j in zip(*np.nonzero(hit), strict=True)]
-            frontier += left[reached].tolist()
-            left = left[~reached]
-            table = planes(fps[left])
-    return edges
-
-
-def spanning(n: int, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    parent, out = list(range(n)), []
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in edges:
-        a, b = find(i), find(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+        if not reached.any():
+            continue
+        hit, lanes = hit[:, reached], left[reached]
+        first = heads[hit.argmax(axis=0)]
+        edges.append(np.stack([first, lanes], axis=1))
+        root[lanes] = root[first]
+        trees = np.array([find(int(r)) for r in root[heads]])
+        names = np.unique(trees)
+        if len(names) > 1:  # lanes that several trees reach join them
+            by_tree = np.stack([hit[trees == r].any(axis=0) for r in names])
+            many = np.flatnonzero(by_tree.sum(axis=0) > 1)
+            patterns, example = np.unique(by_tree[:, many].T, axis=0, return_index=True)
+            for pattern, e in zip(patterns, many[example], strict=True):
+                for r in names[pattern]:
+                    a, b = find(int(names[pattern][0])), find(int(r))
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        edges += [np.array([[heads[np.flatnonzero(hit[:, e] & (trees == x))[0]], lanes[e]]]) for x in (r, names[pattern][0])]
+        frontier = np.concatenate([frontier, lanes])
+        left = left[~reached]
+        table = planes(fps[left])
+    return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
 
 
 def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int, small: int = 64) -> list[tuple[int, int]]:
@@ -165,7 +174,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int, small: int = 64
             out += zip(fps[ok].tolist(), fps[ok + shift].tolist(), strict=True)
     for s, k in zip(start[length > small], length[length > small], strict=True):
         part = np.unique(fps[s : s + k])
-        out += [(int(part[i]), int(part[j])) for i, j in spanning(len(part), forest(part, radius))]
+        out += [(int(part[i]), int(part[j])) for i, j in forest(part, radius)]
     return out
 
 
@@ -284,7 +293,7 @@ def candidate_pairs(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius
         heads = np.repeat(first, np.diff(np.r_[first, len(f)]))
         out.append(np.stack([v[heads], v], axis=1))
         for r in range(3, radius + 1, 3):
-            edges = np.array(spanning(len(part), forest(part, r)), dtype=np.int64).reshape(-1, 2)
+            edges = forest(part, r)
             out.append(np.stack([v[first[edges[:, 0]]], v[first[edges[:, 1]]]], axis=1))
     pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
     return np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
@@ -333,7 +342,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile:
     edges = cut(deal(nodes, tile).mapInArrow(pairs, "u long, v long").distinct(), "candidates")
     ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     held = rows.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    held = cut(held, "held")
+    held, whole = cut(held, "held"), rows
+    rows = cut(whole.select("doc_id", "node"), "nodes")
+    drop_cut(whole)
     both = edges.join(held.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b")
 
     def verify(batches):
@@ -349,10 +360,13 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile:
     return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, groups: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
     """docs without the documents that aren't the component_id of their group in groups (doc_id, component_id).
 
     Rows without a doc_id stay, and rows that repeat a kept doc_id stay too.
     """
-    gone = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept")).where("not kept")
+    gone = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept")).where("not kept").select("doc_id")
+    gone = cut(gone, "gone")
+    if gone.count() <= broadcast_ids:  # 8 bytes an id; more are shuffled with the documents
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

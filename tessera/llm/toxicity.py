@@ -121,7 +121,7 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 4, size: int = 4000) -> dic
     """Words and word beginnings that toxic rows have much more often; weights are smoothed log-odds of rates, 4 at most."""
 
     def run(batches):
-        docs, uses, total = Counter(), Counter(), [0, 0]
+        docs, uses = (Counter(), Counter()), (Counter(), Counter())
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = Counter()
@@ -129,12 +129,20 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 4, size: int = 4000) -> dic
                 own.update(words)
                 for k in PREFIXES:
                     own.update(f"{w[:k]}*" for w in words if len(w) > k)
-                total[y] += len(words)
-                for t, c in own.items():
-                    docs[t, y] += 1
-                    uses[t, y] += min(c, 50)
-        keys = [*docs, ("", 0), ("", 1)]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([docs.get(k, 0) for k in keys], pa.int64()), pa.array([uses.get(k, total[k[1]] if not k[0] else 0) for k in keys], pa.int64())], names=["t", "y", "d", "n"])
+                own[""] = len(words)
+                docs[y].update(own.keys())
+                uses[y].update(own)
+                if len(docs[y]) > 100_000:  # partial counts, so that memory is bounded
+                    yield shown(docs, uses, y)
+        for y in (0, 1):
+            yield shown(docs, uses, y)
+
+    def shown(docs, uses, y):
+        terms = list(docs[y])
+        out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([y] * len(terms), pa.int32()), *(pa.array([c[y][t] for t in terms], pa.int64()) for c in (docs, uses))], names=["t", "y", "d", "n"])
+        docs[y].clear()
+        uses[y].clear()
+        return out
 
     rows = sample.select("text", "label").mapInArrow(run, "t string, y int, d long, n long")
     rows = rows.groupBy("t").agg(*[F.sum(F.when(F.col("y") == y, F.col(c))).alias(f"{c}{y}") for y in (0, 1) for c in ("d", "n")]).na.fill(0)
