@@ -299,7 +299,7 @@ def candidate_pairs(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius
     return np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 8192) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 8192, broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id and component_id of each row of docs whose texts are alike in `similarity` of their `width`-word shingles.
 
     Texts with equal words are one node. Candidates are nodes whose SimHash fingerprints agree on a table's
@@ -340,7 +340,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile:
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
     edges = cut(deal(nodes, tile).mapInArrow(pairs, "u long, v long").distinct(), "candidates")
-    ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ends = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
+    if ends.count() <= broadcast_ids:  # 8 bytes a node; more are shuffled with the sketches
+        ends = F.broadcast(ends)
     held = rows.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"])
     held, whole = cut(held, "held"), rows
     rows = cut(whole.select("doc_id", "node"), "nodes")
