@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in slices of a few rows, so that a worker holds few texts as Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lost executors then cost no recomputation."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import ASCII_LOWER
+from tessera.llm.common import ASCII_LOWER, slices
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 FOUND = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_ranges", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
@@ -81,7 +81,7 @@ def corpus_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
 
     def run(batches):
         counts: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 counts.update(w for w in words_of(text) if w in vocabulary)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
@@ -110,7 +110,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, blo
 
         def run(batches, shared=shared, first=k == 0):
             index = shared.value
-            for b in batches:
+            for b in slices(batches):
                 n_words, n_hit, kept, items = [], [], [], []
                 for j, text in enumerate(b.column(at).to_pylist()):
                     words = words_of(text)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, slices
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
@@ -54,7 +54,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER
 
     def run(batches):
         encode, part, row = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in slices(batches):
             which, start, length, crc, total, salt = [], [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 ids = np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4")

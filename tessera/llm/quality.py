@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import held_out
+from tessera.llm.common import held_out, slices
 from tessera.llm.samples import MAX_ROWS, labelled_sample
 
 SYMBOLS = [b for b in b"*&$%#|~^<>{}[]\\=+_@!"]
@@ -92,7 +92,7 @@ def fit_ranker(x: np.ndarray, y: np.ndarray, at: float = 0.3, pairs: int = 40000
 
 def fit_quality(docs: DataFrame, labels: DataFrame, at: float = 0.3, max_rows: int = MAX_ROWS) -> Ranker:
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             x = [features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
@@ -107,7 +107,7 @@ def score_quality(docs: DataFrame, ranker: Ranker) -> DataFrame:
     wide = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             x = np.array([features(t) for t in b.column(at).to_pylist()], float).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranker.score(x))], names=wide.names)
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm.common import slices
+
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run, once begun by AKIA, is taken whole: as long as 20 or dropped
@@ -109,7 +111,7 @@ def scan_secrets(docs: DataFrame, text_out: bool = False) -> DataFrame:
     wide = T.StructType([*docs.schema.fields, *added])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).to_pylist()
             found = [find_secrets(t) for t in texts]
             own = list(b.columns)

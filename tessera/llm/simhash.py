@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, components, cut, drop_cut
+from tessera.llm.common import ASCII_LOWER, components, cut, drop_cut, slices
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -182,7 +182,7 @@ def fingerprint_frame(docs: DataFrame, width: int = 3) -> DataFrame:
     """docs' columns doc_id and fp (the fingerprint as a signed long). Null and empty texts have 0."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([majority(shingle_hashes(t, width)) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
@@ -310,7 +310,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketches(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [sketch(t, width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(np.array([f[i] for f in found], dtype=np.uint64).view(np.int64)) for i in (0, 1)), pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=["doc_id", "node", "fp", "sketch"]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import held_out
+from tessera.llm.common import held_out, slices
 from tessera.llm.samples import MAX_ROWS, labelled_sample
 
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;\n\"«»]")
@@ -122,7 +122,7 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 4, size: int = 4000) -> dic
 
     def run(batches):
         docs, uses = (Counter(), Counter()), (Counter(), Counter())
-        for b in batches:
+        for b in slices(batches):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = Counter()
                 words = [t for t in TOKEN.findall((text or "").lower()) if len(t) > 2]
@@ -175,7 +175,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     lexicon = Lexicon(weights)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             x = [clause_features(t, lexicon) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
@@ -191,7 +191,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, at: float = 0.5) -> DataFr
     lexicon = Lexicon(grammar.weights)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             x = np.array([clause_features(t, lexicon) for t in b.column(place).to_pylist()], float).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(grammar.score(x))], names=wide.names)
 
