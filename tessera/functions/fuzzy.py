@@ -30,15 +30,23 @@ def token_set_of(a: str, b: str) -> float:
     return (jaccard + ratio_of(" ".join(sorted(x)), " ".join(sorted(y)))) / 2
 
 
-def _udf(f):
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _column(f, a, b) -> F.Column:
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([f(i, j) for i, j in zip(x, y, strict=True)], dtype="float64")
 
-    return run
+    return F.pandas_udf(run, "double")(a, b)
 
 
-ratio, partial_ratio, token_set_ratio = _udf(ratio_of), _udf(partial_of), _udf(token_set_of)
+def ratio(a, b) -> F.Column:
+    return _column(ratio_of, a, b)
+
+
+def partial_ratio(a, b) -> F.Column:
+    return _column(partial_of, a, b)
+
+
+def token_set_ratio(a, b) -> F.Column:
+    return _column(token_set_of, a, b)
 
 
 def may_reach(a: F.Column, b: F.Column, threshold: float) -> F.Column:
