@@ -16,8 +16,8 @@ def register_engine(name: str, search: Callable[[str, int], Iterable[dict]]) ->
 
 
 class SearchReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.engine = ENGINES[options["engine"]]
+    def __init__(self, engine: Callable[[str, int], Iterable[dict]], options: dict):
+        self.engine = engine
         self.queries = [q for q in options.get("queries", "").split("\n") if q]
         self.number = int(options.get("number", "5"))
 
@@ -34,18 +34,25 @@ class SearchReader(DataSourceReader):
             yield (partition.value, 0, None, None, None, None, repr(e))
 
 
-class SearchSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "tessera_search"
+def source_of(name: str) -> type[DataSource]:
+    """A source class that carries its engine, since executors don't have the driver's registry."""
+    engine, reader = ENGINES[name], SearchReader
 
-    def schema(self) -> str:
-        return "query string, pos int, title string, url string, content string, score double, error string"
+    class SearchSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return f"tessera_search_{name}"
 
-    def reader(self, schema):
-        return SearchReader(self.options)
+        def schema(self) -> str:
+            return "query string, pos int, title string, url string, content string, score double, error string"
+
+        def reader(self, schema):
+            return reader(engine, self.options)
+
+    return SearchSource
 
 
 def search(spark: SparkSession, engine: str, queries: list[str], number: int = 5):
-    spark.dataSource.register(SearchSource)
-    return spark.read.format("tessera_search").option("engine", engine).option("queries", "\n".join(queries)).option("number", str(number)).load()
+    """Hits of each query, at most `number`, in the engine's order."""
+    spark.dataSource.register(source_of(engine))
+    return spark.read.format(f"tessera_search_{engine}").option("queries", "\n".join(queries)).option("number", str(number)).load()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +24,6 @@ def text_of(kind: str, raw: bytes) -> str:
     """Markdown of a file: DOCX by its paragraph styles and tables, anything else as UTF-8 text."""
     if kind == "docx":
         import re
-        import zipfile
         from xml.etree import ElementTree
 
         ns = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -56,7 +56,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
             for kind, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 try:
                     texts.append(text_of(kind, raw))
-                except (KeyError, ValueError, OSError, AttributeError, SyntaxError):
+                except (KeyError, ValueError, OSError, AttributeError, SyntaxError, zipfile.BadZipFile):
                     texts.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["path", "text"])
 
