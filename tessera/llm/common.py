@@ -53,6 +53,18 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def set_aside(docs: DataFrame, core: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """docs with all but the core columns under names that clash with nothing, places unchanged."""
+    return docs.toDF(*[c if c in core else f"_own{i}" for i, c in enumerate(docs.columns)])
+
+
+def named_back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """out, whose first columns are those of set_aside(docs), under docs' names; those that clash with an added one end in _in."""
+    n = len(docs.columns)
+    added = {c.lower() for c in out.columns[n:]}
+    return out.toDF(*[f"{c}_in" if c.lower() in added else c for c in docs.columns], *out.columns[n:])
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """True where crc32 of the id as text leaves no remainder by HELD_OUT_FOLDS; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % HELD_OUT_FOLDS == 0, F.lit(True))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import ASCII_LOWER, slices
+from tessera.llm.common import ASCII_LOWER, named_back, set_aside, slices
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 FOUND = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_ranges", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
@@ -95,9 +95,10 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, blo
 
     Every row of docs stays, repeated ones included. A null or wordless text has no words and no hit. Items
     that are null, wordless or without an id are left out; repeated item ids count once. An empty benchmark
-    hits nothing. docs may have any columns but those five, n_hit's ranges (hit_ranges) and items.
+    hits nothing. Columns of docs that have the name of an added one come back with _in after it.
     """
-    spark = docs.sparkSession
+    spark, given = docs.sparkSession, docs
+    docs = set_aside(docs)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     at = docs.columns.index("text")
@@ -128,7 +129,8 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, blo
                 yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=wide.names)
 
         out = out.mapInArrow(run, wide)
-    return out.select(*docs.columns, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    out = out.select(*docs.columns, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return named_back(out, given)
 
 
 SQL = """

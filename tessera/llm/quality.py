@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import held_out, slices
+from tessera.llm.common import held_out, named_back, set_aside, slices
 from tessera.llm.samples import MAX_ROWS, labelled_sample
 
 SYMBOLS = [b for b in b"*&$%#|~^<>{}[]\\=+_@!"]
@@ -102,7 +102,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, at: float = 0.3, max_rows: i
 
 
 def score_quality(docs: DataFrame, ranker: Ranker) -> DataFrame:
-    """docs' columns, then held_out, score and predicted (score >= the ranker's cut). One row a row; nulls score as empty."""
+    """docs' columns, then held_out, score and predicted (score >= the ranker's cut). One row a row; nulls score as empty.
+
+    Columns of docs that have the name of an added one come back with _in after it.
+    """
+    given, docs = docs, set_aside(docs)
     at = docs.columns.index("text")
     wide = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
@@ -111,4 +115,5 @@ def score_quality(docs: DataFrame, ranker: Ranker) -> DataFrame:
             x = np.array([features(t) for t in b.column(at).to_pylist()], float).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranker.score(x))], names=wide.names)
 
-    return docs.mapInArrow(run, wide).select(*docs.columns, held_out().alias("held_out"), "score", (F.col("score") >= ranker.at).cast("int").alias("predicted"))
+    out = docs.mapInArrow(run, wide).select(*docs.columns, held_out().alias("held_out"), "score", (F.col("score") >= ranker.at).cast("int").alias("predicted"))
+    return named_back(out, given)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices
+from tessera.llm.common import named_back, set_aside, slices
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -103,9 +103,10 @@ def scan_secrets(docs: DataFrame, text_out: bool = False) -> DataFrame:
     """docs' columns, then n_assign, n_access, n_hex, n_literal, base_spans, spans (kind:start:end, comma-joined).
 
     With text_out, `text` is given with every secret value replaced by a mark. Null texts have no spans and
-    stay null. Rows are kept one for one, in any number and repeated; other columns pass through, and must
-    not have the names added here.
+    stay null. Rows are kept one for one, in any number and repeated; other columns pass through, those that
+    have the name of an added one with _in after it.
     """
+    given, docs = docs, set_aside(docs)
     at = docs.columns.index("text")
     added = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_spans", T.StringType()), T.StructField("spans", T.StringType())]
     wide = T.StructType([*docs.schema.fields, *added])
@@ -121,4 +122,4 @@ def scan_secrets(docs: DataFrame, text_out: bool = False) -> DataFrame:
             base = pa.array([joined(s for s in f if s[0] != "literal") for f in found], pa.string())
             yield pa.RecordBatch.from_arrays([*own, *counts, base, pa.array([joined(f) for f in found], pa.string())], names=wide.names)
 
-    return docs.mapInArrow(run, wide)
+    return named_back(docs.mapInArrow(run, wide), given)

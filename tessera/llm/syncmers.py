@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import named_back, set_aside
+
 K, S, KEEP = 5, 2, 64
 CHARS, SHORT_K, SHORT_S = 120, 3, 1
 MASK = 0xFFFFFFFF
@@ -67,8 +69,8 @@ def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs' columns, then sketch and fingerprint. Null texts count as empty: an empty fingerprint. Rows are kept one for one."""
-    out = docs.withColumn("sketch", sketch(F.coalesce("text", F.lit(""))))
-    return out.withColumn("fingerprint", shown(F.col("sketch")))
+    out = set_aside(docs).withColumn("sketch", sketch(F.coalesce("text", F.lit(""))))
+    return named_back(out.withColumn("fingerprint", shown(F.col("sketch"))), docs)
 
 
 def with_buckets(docs: DataFrame, rows: int, coarse: int = 1024, fine: int = 128) -> tuple[DataFrame, int]:

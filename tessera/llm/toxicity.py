@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import held_out, slices
+from tessera.llm.common import held_out, named_back, set_aside, slices
 from tessera.llm.samples import MAX_ROWS, labelled_sample
 
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;\n\"«»]")
@@ -185,7 +185,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
 
 
 def score_toxicity(docs: DataFrame, grammar: Grammar, at: float = 0.5) -> DataFrame:
-    """docs' columns, then held_out, score and predicted (score >= at). One row a row; nulls score as empty texts."""
+    """docs' columns, then held_out, score and predicted (score >= at). One row a row; nulls score as empty texts.
+
+    Columns of docs that have the name of an added one come back with _in after it.
+    """
+    given, docs = docs, set_aside(docs)
     place = docs.columns.index("text")
     wide = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     lexicon = Lexicon(grammar.weights)
@@ -195,4 +199,5 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, at: float = 0.5) -> DataFr
             x = np.array([clause_features(t, lexicon) for t in b.column(place).to_pylist()], float).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(grammar.score(x))], names=wide.names)
 
-    return docs.mapInArrow(run, wide).select(*docs.columns, held_out().alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+    out = docs.mapInArrow(run, wide).select(*docs.columns, held_out().alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+    return named_back(out, given)

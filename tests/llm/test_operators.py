@@ -461,3 +461,27 @@ def test_pipeline(spark, sf):
     for _, stage in p.STAGES:
         assert stage(spark, odd, sf).count() > 0
         stage(spark, fixtures.empty(spark), sf).count()
+
+
+CLASH = "score predicted held_out n_words n_hit n_items items hit_ranges contaminated items_sha256 n_assign base_spans spans n_term rid sketch fingerprint component_id node fp g start length salt label half a.b".split()
+
+
+def test_clashing_columns(spark, sf_small):
+    import corpus_pipeline as p
+
+    d = fixtures.docs(spark)
+    wide = d.select("*", *[simhash.F.lit(f"mine {c}").alias(c) for c in CLASH if c != "label"])
+    n, labels = wide.count(), spark.read.parquet(f"{sf_small}/labels.parquet")
+    items = spark.read.parquet(f"{sf_small}/benchmark.parquet")
+    for got, added in (
+        (quality.score_quality(wide, quality.fit_quality(wide, labels)), "score"), (toxicity.score_toxicity(wide, toxicity.fit_toxicity(wide, labels)), "score"), (decontaminate.match_benchmark(wide, items), "n_hit"),
+        (secrets.scan_secrets(wide), "spans"), (personal.scan_personal(wide, text_out=True), "spans"), (syncmers.fingerprints(wide), "sketch"),
+    ):
+        rows = got.collect()
+        assert len(rows) == n and all(r[f"{added}_in"] == f"mine {added}" for r in rows)
+    assert personal.scan_personal(wide).count() == n and simhash.near_duplicates(wide).count() == n and sharding.shard(wide).count() == n
+    assert packing.pack(wide).select("doc_id").distinct().count() == d.select("doc_id").distinct().count() and syncmers.edited_likeness(wide).count() == n
+    for _, stage in p.STAGES[:-1]:
+        rows = stage(spark, wide, sf_small)
+        assert rows.columns == wide.columns
+        assert {r["score"] for r in rows.collect()} == {"mine score"}
