@@ -35,8 +35,13 @@ def slices(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lost executors then cost no recomputation."""
+def cut(df: DataFrame, label: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lost executors then cost no recomputation.
+
+    Where about how many rows it has is known, it is written in files of per_file rows instead of one a partition.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -95,7 +100,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = cut(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = cut(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", before[0])
         now = stars(after)
         drop_cut(canon)
         canon = after

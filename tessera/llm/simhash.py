@@ -340,11 +340,12 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile:
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
     edges = cut(deal(nodes, tile).mapInArrow(pairs, "u long, v long").distinct(), "candidates")
-    ends = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
-    if ends.count() <= broadcast_ids:  # 8 bytes a node; more are shuffled with the sketches
+    ends = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends", edges.count())
+    n_ends = ends.count()
+    if n_ends <= broadcast_ids:  # 8 bytes a node; more are shuffled with the sketches
         ends = F.broadcast(ends)
     held = rows.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    held, whole = cut(held, "held"), rows
+    held, whole = cut(held, "held", n_ends, 20_000), rows
     rows = cut(whole.select("doc_id", "node"), "nodes")
     drop_cut(whole)
     both = edges.join(held.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b")
