@@ -68,7 +68,7 @@ def chart_values(t):
 
 @query("""
 WITH p AS (SELECT p_partkey, p_retailprice AS x, pow(10.0, floor(log10(p_retailprice))) AS e FROM part)
-SELECT p_partkey, round(list_min(list_filter(list_transform([1.0, 1.2, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0], lambda s: s * e), lambda s: s >= x)), 6) AS top FROM p""")
+SELECT p_partkey, round(list_min(list_filter(list_transform([1.0, 1.1, 1.2, 1.25, 1.5, 1.6, 1.8, 2.0, 2.2, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0], lambda s: s * e), lambda s: s >= x)), 6) AS top FROM p""")
 def nice_axis(t):
     return t("part").select("p_partkey", F.round(C.nice_ceil(Q("p_retailprice")), 6).alias("top"))
 
