@@ -55,3 +55,34 @@ def collected_background(steps: DataFrame, results: DataFrame) -> DataFrame:
     met = flat.join(results.select(F.col("step_id").alias("parent"), "result"), "parent")
     got = met.groupBy("step_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "result"))), lambda x: x["result"]).alias("background"))
     return steps.select("step_id").join(got, "step_id", "left").withColumn("background", F.coalesce("background", F.array().cast("array<string>")))
+
+
+def flattened(outlines: DataFrame) -> dict[str, DataFrame]:
+    """The levels of nested outlines as tables: outlines, sections, plans, steps, queries, documents and contents.
+
+    outlines: outline_id, language, title, thought, sections; a section has plans, a plan steps, a step
+    retrieval_queries, a query doc_infos. Null lists are empty; contents has a row for each section, plan and step.
+    """
+
+    def down(df: DataFrame, keys: list[str], items: str, name: str) -> DataFrame:
+        rows = df.select(*keys, F.posexplode(items).alias(f"{name}_pos", "x"))
+        return rows.select(*keys, f"{name}_pos", F.col("x.id").alias(f"{name}_id") if name != "query" else F.col("x.query").alias("query"), "x")
+
+    sections = down(outlines, ["outline_id"], "sections", "section")
+    plans = down(sections, ["outline_id", "section_pos", "section_id"], "x.plans", "plan")
+    steps = down(plans, ["outline_id", "section_pos", "section_id", "plan_pos", "plan_id"], "x.steps", "step")
+    at = ["outline_id", "section_pos", "section_id", "plan_pos", "plan_id", "step_pos", "step_id"]
+    queries = down(steps, at, "x.retrieval_queries", "query")
+    documents = queries.select(*at, "query_pos", "query", F.posexplode("x.doc_infos").alias("doc_pos", "d")).select(*at, "query_pos", "query", "doc_pos", "d.*")
+    core = F.coalesce("x.is_core_section", F.lit(False))
+    count = lambda c: F.coalesce(F.nullif(F.size(c), F.lit(-1)), F.lit(0))
+    contents = sections.select(*at[:3], "x.plans").withColumn("p", F.explode_outer("plans")).withColumn("s", F.explode_outer("p.steps"))
+    return {
+        "outlines": outlines.select("outline_id", "language", "title", "thought", count("sections").alias("section_count")),
+        "sections": sections.select(*at[:3], "x.title", "x.description", core.alias("is_core_section"), relations_shown(F.col("x")).alias("parents"), count("x.plans").alias("plan_count")),
+        "plans": plans.select(*at[:5], "x.title", count("x.steps").alias("step_count")),
+        "steps": steps.select(*at, "x.title", "x.description", count("x.retrieval_queries").alias("query_count")),
+        "queries": queries.select(*at, "query_pos", "query", count("x.doc_infos").alias("doc_count")),
+        "documents": documents,
+        "contents": contents.select(*at[:3], F.col("p.id").alias("plan_id"), F.col("s.id").alias("step_id")),
+    }
