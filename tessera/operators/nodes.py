@@ -5,6 +5,7 @@ Numbering is greedy in the order of edges, so each inference (one row) is handle
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,15 +82,30 @@ def numbered(inferences: DataFrame) -> DataFrame:
 
 
 def find_fragment(text: str, piece: str, threshold: float) -> tuple[int, int] | None:
-    """Where piece is in text: exactly, or the window of its length most like it, the first of equals."""
+    """Where piece is in text: exactly, or the window of its length most like it, the first of equals.
+
+    A window's likeness is at most its share of characters in common with piece, kept while the window moves; only windows
+    whose share can reach the threshold and beat the best so far are compared.
+    """
     at = text.find(piece)
-    if at < 0:
-        scored = ((fuzzy.ratio_of(piece, text[i : i + len(piece)]), -i) for i in range(len(text) - len(piece) + 1))
-        score, low = max(scored, default=(0.0, 0))
-        if score < threshold or score == 0:
-            return None
-        at = -low
-    return at, at + len(piece)
+    if at >= 0:
+        return at, at + len(piece)
+    n, best, found = len(piece), 0.0, None
+    if not n or n > len(text):
+        return None
+    lack, common = Counter(piece), 0  # what piece has more of than the window
+    for end, c in enumerate(text):
+        common += lack[c] > 0
+        lack[c] -= 1
+        if end >= n:
+            old = text[end - n]
+            lack[old] += 1
+            common -= lack[old] > 0
+        if end >= n - 1 and 100.0 * common / n >= threshold and 100.0 * common / n > best:
+            score = fuzzy.ratio_of(piece, text[end - n + 1 : end + 1])
+            if score > best:
+                best, found = score, end - n + 1
+    return (found, found + n) if found is not None and best >= threshold else None
 
 
 def tag_fragments(text: str | None, pieces, template: str = "<mark>{}</mark>", threshold: float = FRAGMENT) -> str | None:

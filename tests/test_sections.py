@@ -85,6 +85,24 @@ def test_tag_fragments(spark):
     assert [r[0] for r in df.select(N.tagged(F.col("t"), F.col("p"))).collect()] == ["one <mark>two</mark>", None]
 
 
+def test_fragment_search_equals_all_windows():
+    import random
+
+    from tessera.functions import fuzzy
+
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 40)))
+        piece = "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 8)))
+        for threshold in (30.0, 60.0, 90.0):
+            want = (text.find(piece), text.find(piece) + len(piece)) if piece in text else None
+            if want is None:
+                scored = [(fuzzy.ratio_of(piece, text[i : i + len(piece)]), -i) for i in range(len(text) - len(piece) + 1)]
+                score, i = max(scored, default=(0.0, 0))
+                want = (-i, -i + len(piece)) if score >= threshold and score > 0 else None
+            assert N.find_fragment(text, piece, threshold) == want, (text, piece, threshold)
+
+
 def test_removed_subgraphs(spark):
     hyper = spark.createDataFrame([(1, [1, 2], "r", 3), (2, [3], "r", 4), (3, [5], "r", 6)], "edge_id int, heads array<int>, relation string, tail int")
     nodes = spark.createDataFrame([(i,) for i in range(1, 7)], "id int")
