@@ -102,31 +102,32 @@ def pairs_within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
 
 def forest(fps: np.ndarray, radius: int, batch: int = 32) -> np.ndarray:
     """Edges (i, j) that connect what links within `radius` connects among distinct fps: one a row, and one for
-    each two trees that grow from the same batch and meet."""
+    each two trees that meet.
+
+    Heads are compared with the lanes not yet reached and, while several trees grow, with all reached lanes whose
+    turn has not come: of two linked lanes, the one that is a head first sees the other.
+    """
     n, edges = len(fps), []
     left, root = np.arange(n), np.arange(n)
-    table, frontier, parent = planes(fps), np.zeros(0, np.int64), {}
+    table, frontier = planes(fps), np.zeros(0, np.int64)
 
-    def find(x: int) -> int:
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
+    def meet(near: np.ndarray, heads: np.ndarray, lanes: np.ndarray) -> None:
+        while (apart := near & (root[heads][:, None] != root[lanes])).any():
+            i, j = np.unravel_index(apart.argmax(), apart.shape)
+            edges.append(np.array([[heads[i], lanes[j]]]))
+            root[root == root[lanes[j]]] = root[heads[i]]
 
-    while len(left):
+    while len(left) or len(frontier):
         if not len(frontier):
-            heads = left[:batch]
-            near = np.bitwise_count(fps[heads][:, None] ^ fps[heads][None, :]) <= radius
-            for i, j in np.argwhere(np.triu(near, 1)):
-                a, b = find(int(heads[i])), find(int(heads[j]))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    edges.append(np.array([[heads[i], heads[j]]]))
-            left = left[batch:]
+            heads, left = left[:batch], left[batch:]
             table = planes(fps[left])
         else:
             heads, frontier = frontier[:batch], frontier[batch:]
+        waiting = np.concatenate([heads, frontier])
+        if (root[waiting] != root[waiting[0]]).any():
+            meet(np.bitwise_count(fps[heads][:, None] ^ fps[waiting]) <= radius, heads, waiting)
         if not len(left):
-            break
+            continue
         flip = np.where((fps[heads][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), ONES, np.uint64(0))
         hit = lanes_of(within(lambda b, keep, t=table, f=flip: t[b][keep][None, :] ^ f[:, b][:, None], 64, (len(heads), table.shape[1]), radius), len(left))
         reached = hit.any(axis=0)
@@ -136,18 +137,7 @@ def forest(fps: np.ndarray, radius: int, batch: int = 32) -> np.ndarray:
         first = heads[hit.argmax(axis=0)]
         edges.append(np.stack([first, lanes], axis=1))
         root[lanes] = root[first]
-        trees = np.array([find(int(r)) for r in root[heads]])
-        names = np.unique(trees)
-        if len(names) > 1:  # lanes that several trees reach join them
-            by_tree = np.stack([hit[trees == r].any(axis=0) for r in names])
-            many = np.flatnonzero(by_tree.sum(axis=0) > 1)
-            patterns, example = np.unique(by_tree[:, many].T, axis=0, return_index=True)
-            for pattern, e in zip(patterns, many[example], strict=True):
-                for r in names[pattern]:
-                    a, b = find(int(names[pattern][0])), find(int(r))
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                        edges += [np.array([[heads[np.flatnonzero(hit[:, e] & (trees == x))[0]], lanes[e]]]) for x in (r, names[pattern][0])]
+        meet(hit, heads, lanes)  # lanes that several trees reach join them
         frontier = np.concatenate([frontier, lanes])
         left = left[~reached]
         table = planes(fps[left])
