@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ASCII_LOWER, components, cut, drop_cut, slices
@@ -238,17 +238,32 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The near-copy stage: SimHash of distinct words finds candidates, five-word shingles decide.
-TABLES, KEY_BITS, NEAR_RADIUS = 20, 20, 9
+#: The near-copy stage: an exact join on shingles, rarest first; common ones are known from a sample of SAMPLE texts.
+SAMPLE, COMMON = 16_000, 100_000
+#: Buckets over CROWD nodes are joined by heads in at most ROUNDS rounds before all that is left is compared.
+CROWD, ROUNDS = 16, 4
 
 
-def sketch(text: str | None, width: int) -> tuple[int, int, np.ndarray]:
-    """(hash of the word sequence, SimHash of the distinct words, sorted 31-bit hashes of the distinct shingles)."""
+def sketch(text: str | None, width: int) -> tuple[int, np.ndarray]:
+    """(hash of the word sequence, sorted 31-bit hashes of the distinct shingles)."""
     words = (text or "").encode().translate(ASCII_LOWER).split()
-    digest = xxhash.xxh64_intdigest
-    fp = majority(np.array([digest(w, 42) for w in set(words)], dtype=np.uint64))
     h = np.unique(shingle_hashes(text, width) & np.uint64(0x7FFFFFFF))
-    return digest(b" ".join(words), 7), fp, h.astype(np.int32)
+    return xxhash.xxh64_intdigest(b" ".join(words), 7), h.astype(np.int32)
+
+
+def prefix_length(n, similarity: float):
+    """Two sets of sizes n and m that are alike in `similarity` share one of the first so many in any common order."""
+    return n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1
+
+
+def least_shared(n: Column, m: Column, similarity: float) -> Column:
+    """So many items two sets of sizes n and m share in their prefixes at least, if they are alike in `similarity`.
+
+    Of the two prefixes, the one that ends first in the order has no common item beyond the other's end, and at most
+    its size less the overlap are not common.
+    """
+    overlap = F.ceil(similarity / (1 + similarity) * (n + m) - 1e-6)
+    return F.least(*[x - F.ceil(similarity * x - 1e-6) + 1 - (x - overlap) for x in (n, m)])
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -289,11 +304,13 @@ def candidate_pairs(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius
     return np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = 8192, broadcast_ids: int = 1_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id and component_id of each row of docs whose texts are alike in `similarity` of their `width`-word shingles.
 
-    Texts with equal words are one node. Candidates are nodes whose SimHash fingerprints agree on a table's
-    KEY_BITS sampled bits and are within NEAR_RADIUS bits; each candidate pair is verified on its shingles.
+    Texts with equal words are one node. All pairs are found: two alike sets of shingles share enough of their
+    prefixes in a common order (least_shared), so nodes meet in the buckets of their prefixes' shingles. Nodes of
+    crowded buckets are first verified with a few heads; then all pairs of a bucket that lie in different components,
+    so a group whose members are alike costs pairs in proportion to its size, and none is left out.
     component_id is the smallest doc_id of the group. Blank and null texts are one group. Rows are kept
     one for one; an empty table gives no rows.
     """
@@ -302,51 +319,92 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile:
     def sketches(batches):
         for b in slices(batches):
             found = [sketch(t, width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(np.array([f[i] for f in found], dtype=np.uint64).view(np.int64)) for i in (0, 1)), pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=["doc_id", "node", "fp", "sketch"]
-            )
-
-    rows = cut(docs.select("doc_id", "text").mapInArrow(sketches, f"doc_id {kind}, node long, fp long, sketch array<int>"), "sketches")
-    rng = np.random.default_rng(11)
-    masks = [sum(1 << int(b) for b in rng.choice(64, KEY_BITS, replace=False)) for _ in range(TABLES)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tables = F.array(*[F.struct(F.lit(i).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    nodes = rows.select("node", "fp").distinct().select("node", "fp", F.explode(tables).alias("b")).select("b.t", "b.key", "fp", "node")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([f[0] for f in found], dtype=np.uint64).view(np.int64)), pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["doc_id", "node", "sketch"])
 
-    def pairs(batches):
-        keys, fps, own = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            keys, fps, own = np.concatenate([keys, b.column(0).to_numpy()]), np.concatenate([fps, b.column(1).to_numpy().view(np.uint64)]), np.concatenate([own, b.column(2).to_numpy()])
-            if len(keys) < 1 << 15:
-                continue
-            whole = int(np.searchsorted(keys, keys[-1]))
-            if whole:
-                yield shown(keys[:whole], fps[:whole], own[:whole])
-                keys, fps, own = keys[whole:], fps[whole:], own[whole:]
-        yield shown(keys, fps, own)
+    rows = docs.select("doc_id", "text").mapInArrow(sketches, f"doc_id {kind}, node long, sketch array<int>")
+    rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()), "sketches")
 
-    def shown(keys, fps, own):
-        found = candidate_pairs(keys, fps, own, NEAR_RADIUS)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+    def small(df: DataFrame, label: str) -> DataFrame:
+        df = cut(df, label)
+        return F.broadcast(df) if df.count() <= broadcast_ids else df  # some bytes an id; more are shuffled
 
-    edges = cut(deal(nodes, tile).mapInArrow(pairs, "u long, v long").distinct(), "candidates")
-    ends = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends", edges.count())
-    n_ends = ends.count()
-    if n_ends <= broadcast_ids:  # 8 bytes a node; more are shuffled with the sketches
-        ends = F.broadcast(ends)
-    held = rows.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    held, whole = cut(held, "held"), rows
-    rows = cut(whole.select("doc_id", "node"), "nodes")
-    drop_cut(whole)
-    both = edges.join(held.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b")
+    total = rows.count()
+    repeated = small(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rid").alias("first")).where("n > 1").select("node", "first"), "repeated")
+    others = small(rows.select("node", "rid").join(repeated, "node").where("rid <> first").select("rid"), "others")
+    nodes = rows.join(others, "rid", "left_anti").select("node", "sketch")
 
-    def verify(batches):
-        for b in batches:
-            xs, ys = b.column(2), b.column(3)
-            ok = pa.array([sketch_similarity(x.values.to_numpy(), y.values.to_numpy()) >= similarity for x, y in zip(xs, ys, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
+    seen = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, total // SAMPLE))) == 0).select(F.explode("sketch").alias("item")).groupBy("item").count().where("count > 1")
+    common = seen.orderBy(F.desc("count"), "item").limit(COMMON).toPandas().sort_values("item")
+    items, counts = common["item"].to_numpy(np.int32), common["count"].to_numpy(np.int64)
 
-    roots = components(both.mapInArrow(verify, "u long, v long"))
+    def prefixes(batches):
+        for b in slices(batches):
+            out = []
+            for node, h in zip(b.column(0).to_numpy(), b.column(1), strict=True):
+                h = h.values.to_numpy()
+                if not len(h):
+                    continue
+                at = np.minimum(np.searchsorted(items, h), max(0, len(items) - 1))
+                often = np.where(items[at] == h, counts[at], 0) if len(items) else np.zeros(len(h), np.int64)
+                first = h[np.argsort(often, kind="stable")[: prefix_length(np.int64(len(h)), similarity)]]
+                out.append((first, np.full(len(first), node), np.full(len(first), len(h), np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["item", "node", "n"])
+
+    bucket = Window.partitionBy("item")
+    shared = nodes.mapInArrow(prefixes, "item int, node long, n int").withColumn("of", F.count("*").over(bucket))
+    shared = cut(shared.where("of > 1").select("item", "node", "n", "of"), "shared")
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs (u, v) that are alike."""
+        edges = cut(pairs.select("u", "v"), label)
+        ends = small(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
+        held = cut(nodes.join(ends, "node", "left_semi"), "held")
+        both = edges.join(held.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b")
+
+        def verify(batches):
+            for b in batches:
+                ok = pa.array([sketch_similarity(x.values.to_numpy(), y.values.to_numpy()) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
+
+        out = cut(both.mapInArrow(verify, "u long, v long"), f"{label}-verified")
+        drop_cut(held)
+        return out
+
+    alike_sizes = F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-6
+
+    def mixed(roots: DataFrame | None) -> DataFrame:
+        """Rows of shared in buckets that hold several components, with their root."""
+        if roots is None:
+            return shared.withColumn("root", F.col("node"))
+        placed = shared.join(small(roots, "placed"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = placed.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket))
+        return cut(placed.where("lo <> hi").select(*shared.columns, "root"), "mixed")
+
+    def counted(pairs: DataFrame, times: int) -> DataFrame:
+        """Pairs (u, v) that meet in at least a times-th of the buckets they need; pairs: u, nu, v, nv of each meeting."""
+        ends = [F.struct(F.col(i).alias("i"), F.col(n).alias("n")) for i, n in (("u", "nu"), ("v", "nv"))]
+        pairs = pairs.where(alike_sizes).select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).select(F.col("x.i").alias("u"), F.col("x.n").alias("nu"), F.col("y.i").alias("v"), F.col("y.n").alias("nv"))
+        return pairs.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c")).where(times * F.col("c") >= least_shared(F.col("nu"), F.col("nv"), similarity)).select("u", "v")
+
+    linked, roots = None, None
+    for turn in range(ROUNDS):  # joins most of what is alike in crowded buckets; which pairs it takes decides nothing
+        rows_ = mixed(roots)
+        order = F.xxhash64("node", F.pmod("item", F.lit(4)), F.lit(turn))
+        head = F.min(F.struct(order.alias("o"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))).over(bucket)
+        heads = rows_.where(F.col("of") > CROWD).withColumn("h", head).select("root", F.col("node").alias("u"), F.col("n").alias("nu"), "h.v", "h.nv", "h.rv").where("root <> rv")
+        found = verified(counted(heads, 8), "stars")
+        if found.isEmpty():
+            break
+        linked = found if linked is None else linked.union(found)
+        roots = cut(components(linked), "roots")
+    rows_ = mixed(roots)
+    mine = rows_.select("item", F.col("node").alias("u"), F.col("n").alias("nu"), "root")
+    other = rows_.select("item", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
+    rest = verified(counted(mine.join(other, "item").where((F.col("u") < F.col("v")) & (F.col("root") != F.col("rv")) & alike_sizes), 1), "rest")
+    roots = components(rest if linked is None else linked.union(rest))
+    whole, rows = rows, cut(rows.select("doc_id", "node"), "nodes")
+    drop_cut(whole)
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = cut(firsts, "firsts")
     named = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")

@@ -27,3 +27,32 @@ def test_forest_links_trees_that_meet_in_reached_lanes(longest):
         f = chains(seed, 40 + 12 * seed, longest)
         want = components(len(f), np.argwhere(np.triu(np.bitwise_count(f[:, None] ^ f) <= 3, 1)).tolist())
         assert components(len(f), simhash.forest(f, 3)) == want
+
+
+def near_copy_groups(texts, similarity=0.8):
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    return components(len(sets), near)
+
+
+def edited(rng, words, kind):
+    n, w = len(words), list(words)
+    if kind == "cut tail":
+        return w[: n - int(0.17 * n)]
+    if kind == "other tail":
+        return w[: n - int(0.1 * n)] + [f"z{x}" for x in rng.integers(0, 10**6, int(0.1 * n))]
+    if kind == "added tail":
+        return w + [f"y{x}" for x in rng.integers(0, 10**6, int(0.2 * n))]
+    for at in rng.choice(n, max(1, n // 60), replace=False):
+        w[at] = f"x{rng.integers(0, 10**6)}"
+    return w
+
+
+def test_near_copies_finds_every_kind_of_edit(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.zipf(1.3, int(rng.integers(60, 400))) % 5000]
+        texts += [" ".join(words), *(" ".join(edited(rng, words, k)) for k in ("cut tail", "other tail", "added tail", "words"))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == near_copy_groups(texts)
