@@ -274,36 +274,6 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def candidate_pairs(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: int, small: int = 32) -> np.ndarray:
-    """Pairs of nodes to verify in buckets of rows sorted by key: all within radius in small buckets; in others the
-    forests of growing radii, so that nearest neighbours come first, and the nodes of one fingerprint in a chain."""
-    if len(keys) < 2:
-        return np.zeros((0, 2), np.int64)
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    length = np.diff(np.r_[start, len(keys)])
-    size, end = np.repeat(length, length), np.repeat(start + length, length)
-    rows, out = np.flatnonzero((size > 1) & (size <= small)), []
-    for shift in range(1, small):
-        rows = rows[rows + shift < end[rows]]
-        if not len(rows):
-            break
-        ok = rows[pairs_within(fps[rows], fps[rows + shift], radius)]
-        out.append(np.stack([nodes[ok], nodes[ok + shift]], axis=1))
-    for s, k in zip(start[length > small], length[length > small], strict=True):
-        order = np.lexsort((nodes[s : s + k], fps[s : s + k]))
-        f, v = fps[s : s + k][order], nodes[s : s + k][order]
-        part, first = np.unique(f, return_index=True)
-        same = np.flatnonzero(f[1:] == f[:-1])
-        out.append(np.stack([v[same], v[same + 1]], axis=1))
-        heads = np.repeat(first, np.diff(np.r_[first, len(f)]))
-        out.append(np.stack([v[heads], v], axis=1))
-        for r in range(3, radius + 1, 3):
-            edges = forest(part, r)
-            out.append(np.stack([v[first[edges[:, 0]]], v[first[edges[:, 1]]]], axis=1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-
-
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id and component_id of each row of docs whose texts are alike in `similarity` of their `width`-word shingles.
 

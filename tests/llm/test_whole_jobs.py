@@ -56,3 +56,17 @@ def test_near_copies_finds_every_kind_of_edit(spark):
         texts += [" ".join(words), *(" ".join(edited(rng, words, k)) for k in ("cut tail", "other tail", "added tail", "words"))]
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == near_copy_groups(texts)
+
+
+def test_near_copies_in_crowded_buckets(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for at in rng.choice(200, int(rng.integers(2, 7)), replace=False):
+            w[at] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = near_copy_groups(texts)
+    assert 1 < len(set(want)) < len(texts) and [got[i] for i in range(len(texts))] == want
