@@ -145,14 +145,51 @@ def test_classifiers_odd_rows(spark, fit, score, label):
     assert score(fixtures.empty(spark), fit(fixtures.empty(spark), none)).count() == 0
 
 
-def test_grammar_clauses():
+@pytest.mark.parametrize("fit,label", [(quality.fit_quality, "quality"), (toxicity.fit_toxicity, "toxic")])
+def test_held_out_labels_are_not_learned(spark, sf, fit, label):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = labels.where("crc32(cast(doc_id as string)) % 5 = 0")
+    turned = labels.subtract(held).union(held.withColumn(label, 1 - quality.F.col(label)).select(*labels.columns))
+    a, b = fit(d, labels), fit(d, turned)
+    assert held.count() > 20 and a.score(np.eye(len(a.mean))).tolist() == b.score(np.eye(len(a.mean))).tolist()
+
+
+def clause_weight(text, quoted=False):
     lex = toxicity.Lexicon({})
-    plain = toxicity.clause_weight("you are an idiot".split(), lex, False)[0]
-    assert plain > toxicity.clause_weight("he is an idiot".split(), lex, True)[0] > 0
-    assert toxicity.clause_weight("you are not an idiot".split(), lex, False)[0] < plain
-    assert toxicity.clause_weight("she said idiot".split(), lex, False)[0] < plain
-    assert toxicity.clause_weight("i will hurt you".split(), lex, False)[2] == 1
-    assert toxicity.clause_weight("a fine day".split(), lex, False)[0] == 0
+    words = [toxicity.classed(w, lex[w]) for w in toxicity.TOKEN.findall(text)]
+    return toxicity.Composition().clause(words, quoted)[:2]
+
+
+def test_grammar_clauses():
+    plain = clause_weight("you are an idiot")[0]
+    assert plain == 3 and clause_weight("an idiot like you")[0] == 3
+    assert plain > clause_weight("he is an idiot", True)[0] > 0
+    assert clause_weight("you are not an idiot")[0] < plain
+    assert clause_weight("he said you are an idiot")[0] < plain
+    assert clause_weight("idiot")[0] == pytest.approx(0.1 * plain) and clause_weight("such a pathetic loser")[0] == pytest.approx(0.7 * plain)
+    assert clause_weight("i will hurt you") == (3, 1) and clause_weight("will you burn calories") == (0, 0) and clause_weight("you hurt him") == (0, 0)
+    assert clause_weight("a fine day")[0] == 0
+
+
+def every_path(machine, read):
+    """All (classes written, weights, whether the end is final) of one machine over a whole clause."""
+    paths = [(machine.start, (), ())]
+    for c in read:
+        paths = [(to, (*out, write), (*ws, w)) for state, out, ws in paths for to, write, w in machine.step(state, c)]
+    return [(out, ws) for state, out, ws in paths if state in machine.final]
+
+
+def test_composition_equals_cascade_of_whole_clauses():
+    rng, machine = np.random.default_rng(2), toxicity.Composition()
+    names = ["insult", "target", "negation", "report", "intent", "harm", "quote", "other"]
+    for _ in range(300):
+        read = [names[i] for i in rng.integers(0, len(names), int(rng.integers(0, 9)))]
+        values = [float(rng.integers(1, 5)) if c == "insult" else 0.0 for c in read]
+        paths = [(tuple(read), (1.0,) * len(read))]
+        for m in toxicity.MACHINES:
+            paths = [(out, tuple(a * b for a, b in zip(ws, own, strict=True))) for seq, ws in paths for out, own in every_path(m, seq)]
+        totals = [sum((toxicity.THREAT_WEIGHT if c == "threat" else v) * w for c, v, w in zip(out, values, ws, strict=True) if c in toxicity.SCORED) for out, ws in paths]
+        assert machine.clause(list(zip(read, values, strict=True)))[0] == pytest.approx(max(totals))
 
 
 # --- 3
