@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +26,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run, once begun by AKIA, is taken whole: as long as 20 or dropped
 HEX = re.compile(r"[0-9a-f]{24,}")
 HEXED = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
-PAIR = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*)["']?[ \t]*(?::=|=>|[:=])[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([^\s"',;|(){}\[\]]+))""")
+# A name is tried once a run of its characters, and nothing is given back: linear in runs of any length.
+PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])[0-9.-]*+([A-Za-z_][A-Za-z0-9_.-]*+)["']?+[ \t]*+(?::=|=>|[:=])[ \t]*+(?:"([^"\n]*+)"|'([^'\n]*+)'|([^\s"',;|(){}\[\]]++))""")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "api_key": 1.0, "private": 0.8, "credential": 0.9, "auth": 0.6, "access_key": 1.0, "passphrase": 1.0, "key": 0.4, "salt": 0.5}
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|none|null|true|false|changeme|example|placeholder|your[-_].*|<.*>|\$\{.*\}|todo)$")
@@ -56,14 +59,20 @@ def lex(text: str) -> list[tuple[str, str, int, int, bool]]:
 
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through names given each other's values."""
-    weight: dict[tuple[int, int], float] = {}
+    reached: dict[tuple[str, int, int], float] = {}
     held: dict[str, tuple[str, int, int]] = {}
     for name, value, start, end, quoted in lex(text):
         source = (value, start, end) if quoted or value not in held else held[value]
         held[name] = source
-        at = source[1:]
-        weight[at] = max(weight.get(at, 0.0), sensitivity(name) * literal_strength(source[0]))
-    return [at for at, w in weight.items() if w >= THRESHOLD]
+        reached[source] = max(reached.get(source, 0.0), sensitivity(name))
+    return [(start, end) for (value, start, end), w in reached.items() if w >= THRESHOLD and w * literal_strength(value) >= THRESHOLD]
+
+
+def outside(spans: list[tuple[int, int]], base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in none of base."""
+    base = sorted(base)
+    starts, far = [s for s, _ in base], list(accumulate((e for _, e in base), max))
+    return [(s, e) for s, e in spans if not (at := bisect_right(starts, s)) or far[at - 1] < e]
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
@@ -79,8 +88,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
     if b"h" * 24 in raw.translate(HEXED):
         out += [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
     if b"=" in raw or b":" in raw:
-        base = [(s, e) for _, s, e, _ in out]
-        out += [("literal", s, e, s) for s, e in literals(text) if not any(a <= s and e <= b for a, b in base)]
+        out += [("literal", s, e, s) for s, e in outside(literals(text), [(s, e) for _, s, e, _ in out])]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -467,6 +467,50 @@ def test_secrets(spark, sf):
     assert secrets.scan_secrets(fixtures.empty(spark)).count() == 0
 
 
+def plain_literals(text):
+    """The literals by the same rules, one line of assignments at a time, without regular expressions for names."""
+    held, reached, at = {}, {}, 0
+    shape = re.compile(r"""["']?[ \t]*(:=|=>|:|=)[ \t]*("([^"\n]*)"|'([^'\n]*)'|[^\s"',;|(){}\[\]]+)""")
+    part = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-"
+    while at < len(text):
+        if text[at] not in part[:52] + "_" or (end := next((k for k in range(at, len(text)) if text[k] not in part), len(text))) < at:
+            at += 1
+            continue
+        m = shape.match(text, end)
+        if not m:
+            at = end
+            continue
+        g = 3 if m[3] is not None else 4 if m[4] is not None else 2
+        own = (m[g], m.start(g), m.end(g))
+        source = own if g != 2 or m[g] not in held else held[m[g]]
+        held[text[at:end]] = source
+        reached[source] = max(reached.get(source, 0), secrets.sensitivity(text[at:end]))
+        at = m.end()
+    base = [(s, e) for s, _, e in plain_secrets(text)]
+    return sorted((s, e) for (v, s, e), w in reached.items() if w * secrets.literal_strength(v) >= 0.6 and not any(a <= s and e <= b for a, b in base))
+
+
+def test_literals_against_plain_lexer(spark, sf):
+    rng = np.random.default_rng(4)
+    bits = ["a", "pwd", "db.key", "-x", "9", "=", ":", ":=", "=>", " ", "\n", '"', "'", "Zk3-Qp9_Lm2+Rt7", "password", "{", ",", "é", "auth_token"]
+    texts = ["".join(bits[i] for i in rng.integers(0, len(bits), 40)) for _ in range(3000)] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    seen = 0
+    for t in texts:
+        got = [(s, e) for k, s, e, _ in secrets.find_secrets(t) if k == "literal"]
+        assert got == plain_literals(t or ""), t
+        seen += len(got)
+    assert seen > 100
+
+
+@pytest.mark.parametrize("text", ["a" * 2_000_000 + ":", " " * 2_000_000 + "=", "1234567890" * 200_000, "a =" * 600_000, "password = abcdef\n" * 100_000, "a='" * 600_000, "-." * 10**6])
+def test_secrets_are_linear_in_long_runs(text):
+    import time
+
+    began = time.time()
+    secrets.redact(text, secrets.find_secrets(text))
+    assert time.time() - began < 10
+
+
 def test_constants_are_propagated():
     text = 'x = "Zk3-Qp9_Lm2+Rt7"\ny := x\ndb_pwd: y\nname = "Zk3"\nurl = "http://host/path"\n'
     assert [(k, text[s:e]) for k, s, e, _ in secrets.find_secrets(text)] == [("literal", "Zk3-Qp9_Lm2+Rt7")]
