@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: For doc_ids that are null, in hashes.
 HELD_OUT_FOLDS = 5
+#: Edges whose components one task may work out: some 100 MB.
+IN_ONE_TASK = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset and the master local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -75,11 +80,33 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % HELD_OUT_FOLDS == 0, F.lit(True))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (u, v), by alternating large-star and small-star rounds.
+def joined_trees(batches, names: tuple[str, str] = ("node", "root")):
+    """Union-find over all edges of a task: the smallest node of its component for each other node."""
+    above: dict = {}
 
-    Returns (node, root) for each node that has an edge to another one; root is the component's smallest
-    node. Every round groups with partial aggregation and joins against one row a node, so that a node with
+    def top(x):
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above[up]
+            x = above[x]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.column(0).type
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, c = top(u), top(v)
+            if a != c:
+                above[max(a, c)] = min(a, c)
+    if above:
+        nodes = [x for x in above if top(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([top(x) for x in nodes], kind)], names=names)
+
+
+def components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+    """Connected components of edges (u, v): by union-find in one task where there are in_one_task edges at most, else by
+    alternating large-star and small-star rounds; both give the same.
+
+    Returns (node, root) for each node that isn't the smallest of its component; root is that smallest node. Every round groups with partial aggregation and joins against one row a node, so that a node with
     very many edges is split like any skewed join; each round is written to the shared folder. Null ends
     and loops are ignored. An empty input gives an empty result.
     """
@@ -89,7 +116,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
 
     canon = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    canon = cut(canon, "edges")
+    canon = cut(canon, "edges", rows)
+    if canon.count() <= in_one_task:
+        kind = canon.schema["u"].dataType.simpleString()
+        return cut(canon.coalesce(1).mapInArrow(joined_trees, f"node {kind}, root {kind}"), "roots", 1)
     before = stars(canon)
     if before[0] == 0:
         return canon.select(F.col("u").alias("node"), F.col("v").alias("root"))

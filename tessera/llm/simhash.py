@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ASCII_LOWER, components, cut, drop_cut, slices
@@ -238,17 +238,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The near-copy stage: an exact join on shingles, rarest first; common ones are known from a sample of SAMPLE texts.
+#: The near-copy stage: after SimHash, an exact join on shingles, rarest first; common ones are known from a sample of SAMPLE texts.
 SAMPLE, COMMON = 16_000, 100_000
-#: Buckets over CROWD nodes are joined by heads in at most ROUNDS rounds before all that is left is compared.
-CROWD, ROUNDS = 16, 4
+#: In buckets over CROWD nodes, SimHash proposes links before all that is left is compared; TILE nodes at once.
+CROWD, TILE = 16, 4096
 
 
-def sketch(text: str | None, width: int) -> tuple[int, np.ndarray]:
-    """(hash of the word sequence, sorted 31-bit hashes of the distinct shingles)."""
+def sketch(text: str | None, width: int) -> tuple[int, int, np.ndarray]:
+    """(hash of the word sequence, SimHash fingerprint, sorted 31-bit hashes of the distinct shingles)."""
     words = (text or "").encode().translate(ASCII_LOWER).split()
-    h = np.unique(shingle_hashes(text, width) & np.uint64(0x7FFFFFFF))
-    return xxhash.xxh64_intdigest(b" ".join(words), 7), h.astype(np.int32)
+    h = shingle_hashes(text, width)
+    return xxhash.xxh64_intdigest(b" ".join(words), 7), majority(h), np.unique(h & np.uint64(0x7FFFFFFF)).astype(np.int32)
 
 
 def prefix_length(n, similarity: float):
@@ -256,14 +256,20 @@ def prefix_length(n, similarity: float):
     return n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1
 
 
-def least_shared(n: Column, m: Column, similarity: float) -> Column:
-    """So many items two sets of sizes n and m share in their prefixes at least, if they are alike in `similarity`.
-
-    Of the two prefixes, the one that ends first in the order has no common item beyond the other's end, and at most
-    its size less the overlap are not common.
-    """
-    overlap = F.ceil(similarity / (1 + similarity) * (n + m) - 1e-6)
-    return F.least(*[x - F.ceil(similarity * x - 1e-6) + 1 - (x - overlap) for x in (n, m)])
+def neighbours(fps: np.ndarray, sizes: np.ndarray, similarity: float, radius: int = 16, keep: int = 8, batch: int = 32) -> np.ndarray:
+    """(i, j) of each lane i and its `keep` nearest lanes j within radius, whose sizes allow the similarity; bit-sliced."""
+    table, out = planes(fps), []
+    for at in range(0, len(fps), batch):
+        heads = np.arange(at, min(at + batch, len(fps)))
+        flip = np.where((fps[heads][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), ONES, np.uint64(0))
+        near = lanes_of(within(lambda b, keep, f=flip: table[b][keep][None, :] ^ f[:, b][:, None], 64, (len(heads), table.shape[1]), radius), len(fps))
+        near &= np.minimum(sizes[heads][:, None], sizes) >= similarity * np.maximum(sizes[heads][:, None], sizes) - 1e-6
+        near[np.arange(len(heads)), heads] = False
+        for k, i in enumerate(heads):
+            lanes = np.flatnonzero(near[k])
+            lanes = lanes[np.argsort(np.bitwise_count(fps[lanes] ^ fps[i]), kind="stable")[:keep]]
+            out.append(np.stack([np.full(len(lanes), i), lanes], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -274,34 +280,41 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast_ids: int = 1_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 3, broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id and component_id of each row of docs whose texts are alike in `similarity` of their `width`-word shingles.
 
-    Texts with equal words are one node. All pairs are found: two alike sets of shingles share enough of their
-    prefixes in a common order (least_shared), so nodes meet in the buckets of their prefixes' shingles. Nodes of
-    crowded buckets are first verified with a few heads; then all pairs of a bucket that lie in different components,
-    so a group whose members are alike costs pairs in proportion to its size, and none is left out.
-    component_id is the smallest doc_id of the group. Blank and null texts are one group. Rows are kept
-    one for one; an empty table gives no rows.
+    Texts with equal words are one node. SimHash proposes the first links, bit-sliced: all fingerprints within `radius`,
+    and in crowded buckets of shingles each node's nearest ones. Links count if the shingles prove them. What SimHash
+    can't see (a cut tail moves many bits) an exact join adds: two alike sets of shingles share one of the first items of
+    each in a common order, so all pairs that still lie in different components meet in a bucket of such an item. A group
+    whose members are alike costs pairs in proportion to its size, and no pair is left out. component_id is the smallest
+    doc_id of the group. Blank and null texts are one group. Rows are kept one for one; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketches(batches):
         for b in slices(batches):
             found = [sketch(t, width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([f[0] for f in found], dtype=np.uint64).view(np.int64)), pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["doc_id", "node", "sketch"])
+            numbers = [pa.array(np.array([f[i] for f in found], dtype=np.uint64).view(np.int64)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *numbers, pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=["doc_id", "node", "fp", "sketch"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(sketches, f"doc_id {kind}, node long, sketch array<int>")
+    rows = docs.select("doc_id", "text").mapInArrow(sketches, f"doc_id {kind}, node long, fp long, sketch array<int>")
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    total = rows.count()
 
     def small(df: DataFrame, label: str) -> DataFrame:
-        df = cut(df, label)
+        df = cut(df, label, total)
         return F.broadcast(df) if df.count() <= broadcast_ids else df  # some bytes an id; more are shuffled
 
-    total = rows.count()
     repeated = small(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rid").alias("first")).where("n > 1").select("node", "first"), "repeated")
     others = small(rows.select("node", "rid").join(repeated, "node").where("rid <> first").select("rid"), "others")
-    nodes = rows.join(others, "rid", "left_anti").select("node", "sketch")
+    nodes = rows.join(others, "rid", "left_anti").select("node", "fp", "sketch")
+
+    heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads", total)
+    same = nodes.select("node", "fp").join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    links = fingerprint_links(heads, radius).select(F.col("u").alias("fp"), F.col("v").alias("fpv"))
+    links = links.join(heads, "fp").select(F.col("head").alias("u"), F.col("fpv").alias("fp")).join(heads, "fp").select("u", F.col("head").alias("v"))
+    proposed = same.union(links)
 
     seen = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, total // SAMPLE))) == 0).select(F.explode("sketch").alias("item")).groupBy("item").count().where("count > 1")
     common = seen.orderBy(F.desc("count"), "item").limit(COMMON).toPandas().sort_values("item")
@@ -317,19 +330,29 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadc
                 at = np.minimum(np.searchsorted(items, h), max(0, len(items) - 1))
                 often = np.where(items[at] == h, counts[at], 0) if len(items) else np.zeros(len(h), np.int64)
                 first = h[np.argsort(often, kind="stable")[: prefix_length(np.int64(len(h)), similarity)]]
-                out.append((first, np.full(len(first), node), np.full(len(first), len(h), np.int32)))
+                out.append((first, np.full(len(first), node), np.full(len(first), len(h), np.int32), np.arange(len(first), dtype=np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["item", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["item", "node", "n", "i"])
 
     bucket = Window.partitionBy("item")
-    shared = nodes.mapInArrow(prefixes, "item int, node long, n int").withColumn("of", F.count("*").over(bucket))
-    shared = cut(shared.where("of > 1").select("item", "node", "n", "of"), "shared")
+    shared = nodes.select("node", "sketch").mapInArrow(prefixes, "item int, node long, n int, i int").withColumn("of", F.count("*").over(bucket))
+    shared = cut(shared.where("of > 1").select("item", "node", "n", "i", "of"), "shared")
+
+    def nearest(rows: pa.Table) -> pa.Table:
+        node, fps = rows.column("node").to_numpy(), rows.column("fp").to_numpy().view(np.uint64)
+        pairs = neighbours(fps, rows.column("n").to_numpy(), similarity)
+        u, v = node[pairs[:, 0]], node[pairs[:, 1]]
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    crowded = shared.where(F.col("of") > CROWD).groupBy("node").agg(F.max(F.struct("of", "item", "n")).alias("b")).select("node", "b.*")
+    crowded = crowded.join(nodes.select("node", "fp"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("of") / TILE)))
+    crowded = crowded.select("item", "tile", "node", "n", "fp").groupBy("item", "tile").applyInArrow(nearest, "u long, v long")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         """The pairs (u, v) that are alike."""
-        edges = cut(pairs.select("u", "v"), label)
+        edges = cut(pairs.select("u", "v"), label, total)
         ends = small(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
-        held = cut(nodes.join(ends, "node", "left_semi"), "held")
+        held = cut(nodes.select("node", "sketch").join(ends, "node", "left_semi"), "held", total, 20_000)
         both = edges.join(held.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b")
 
         def verify(batches):
@@ -341,42 +364,22 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadc
         drop_cut(held)
         return out
 
-    alike_sizes = F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-6
-
-    def mixed(roots: DataFrame | None) -> DataFrame:
-        """Rows of shared in buckets that hold several components, with their root."""
-        if roots is None:
-            return shared.withColumn("root", F.col("node"))
-        placed = shared.join(small(roots, "placed"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = placed.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket))
-        return cut(placed.where("lo <> hi").select(*shared.columns, "root"), "mixed")
-
-    def counted(pairs: DataFrame, times: int) -> DataFrame:
-        """Pairs (u, v) that meet in at least a times-th of the buckets they need; pairs: u, nu, v, nv of each meeting."""
-        ends = [F.struct(F.col(i).alias("i"), F.col(n).alias("n")) for i, n in (("u", "nu"), ("v", "nv"))]
-        pairs = pairs.where(alike_sizes).select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).select(F.col("x.i").alias("u"), F.col("x.n").alias("nu"), F.col("y.i").alias("v"), F.col("y.n").alias("nv"))
-        return pairs.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c")).where(times * F.col("c") >= least_shared(F.col("nu"), F.col("nv"), similarity)).select("u", "v")
-
-    linked, roots = None, None
-    for turn in range(ROUNDS):  # joins most of what is alike in crowded buckets; which pairs it takes decides nothing
-        rows_ = mixed(roots)
-        order = F.xxhash64("node", F.pmod("item", F.lit(4)), F.lit(turn))
-        head = F.min(F.struct(order.alias("o"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))).over(bucket)
-        heads = rows_.where(F.col("of") > CROWD).withColumn("h", head).select("root", F.col("node").alias("u"), F.col("n").alias("nu"), "h.v", "h.nv", "h.rv").where("root <> rv")
-        found = verified(counted(heads, 8), "stars")
-        if found.isEmpty():
-            break
-        linked = found if linked is None else linked.union(found)
-        roots = cut(components(linked), "roots")
-    rows_ = mixed(roots)
-    mine = rows_.select("item", F.col("node").alias("u"), F.col("n").alias("nu"), "root")
-    other = rows_.select("item", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-    rest = verified(counted(mine.join(other, "item").where((F.col("u") < F.col("v")) & (F.col("root") != F.col("rv")) & alike_sizes), 1), "rest")
-    roots = components(rest if linked is None else linked.union(rest))
-    whole, rows = rows, cut(rows.select("doc_id", "node"), "nodes")
+    linked = verified(proposed.union(crowded).distinct(), "proposed")
+    roots = components(linked, rows=total)
+    placed = shared.join(small(roots, "placed"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = placed.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket))
+    mixed = cut(placed.where("lo <> hi").select("item", "node", "n", "i", "root"), "mixed")  # buckets that hold several components
+    mine = mixed.select("item", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("i").alias("iu"), F.col("root").alias("ru"))
+    other = mixed.select("item", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("i").alias("iv"), F.col("root").alias("rv"))
+    overlap = F.ceil(similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - 1e-6)  # the first common item has so many from it on in both
+    meet = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.col("iu") <= F.col("nu") - overlap) & (F.col("iv") <= F.col("nv") - overlap)
+    meet = meet & (F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-6)
+    rest = verified(mine.join(other, (mine["item"] == other["item"]) & meet).select("u", "v").distinct(), "rest")
+    roots = components(rest.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), rows=total)
+    whole, rows = rows, cut(rows.select("doc_id", "node"), "nodes", total)
     drop_cut(whole)
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    firsts = cut(firsts, "firsts")
+    firsts = cut(firsts, "firsts", total)
     named = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
     return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 

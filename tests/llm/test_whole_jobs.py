@@ -70,3 +70,28 @@ def test_near_copies_in_crowded_buckets(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     want = near_copy_groups(texts)
     assert 1 < len(set(want)) < len(texts) and [got[i] for i in range(len(texts))] == want
+
+
+def test_neighbours_are_the_nearest():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 9, dtype=np.uint64)
+    f = base[rng.integers(0, 9, 300)]
+    for _ in range(6):
+        f = f ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    sizes = rng.integers(50, 90, 300)
+    got = simhash.neighbours(f, sizes, 0.8, radius=16, keep=5)
+    for i in range(300):
+        d = np.bitwise_count(f ^ f[i]).astype(int)
+        ok = [j for j in range(300) if j != i and d[j] <= 16 and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])]
+        assert sorted(d[j] for k, j in got if k == i) == sorted(d[j] for j in ok)[:5] and {j for k, j in got if k == i} <= set(ok)
+
+
+def test_components_in_one_task_and_by_rounds_agree(spark):
+    from tessera.llm.common import components as spread
+
+    rng = np.random.default_rng(9)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 900, (700, 2))] + [(5, 5)], "u long, v long")
+    both = [{r.node: r.root for r in spread(edges, in_one_task=n).collect()} for n in (0, 10_000)]
+    assert both[0] == both[1] and len(set(both[0].values())) > 20
+    none = edges.limit(0)
+    assert spread(none).count() == 0 and spread(none, in_one_task=-1).count() == 0
