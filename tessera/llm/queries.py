@@ -64,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontaminate.SQL, "op7_sharding": sharding.SQL.format(limit=SHARD_BYTES)}
+    return {"op6_decontamination": decontaminate.SQL, "op7_sharding": sharding.SQL.format(limit=SHARD_BYTES), "op9_urls": urls.SQL}
