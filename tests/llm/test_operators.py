@@ -276,12 +276,60 @@ def test_personal_odd_rows(spark):
     assert personal.scan_personal(fixtures.empty(spark)).count() == 0
 
 
+def plain_terms(rows, beta=0.9):
+    """The disclosed terms by the definition, over (doc_id, text) rows."""
+    import math
+
+    entities, terms, own = Counter(), Counter(), []
+    for _, t in rows:
+        t = t or ""
+        es = {(k, t[s:e].lower()) for s, k, e in plain_personal(t)}
+        ws = {w for w in re.findall(r"[^\W\d_]{4,}", re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", " ", t).lower())}
+        entities.update(es)
+        terms.update(ws)
+        own.append((es, ws))
+    both = Counter((e, w) for es, ws in own for e in es for w in ws)
+    n = len(rows)
+    return {w for (e, w), c in both.items() if entities[e] < n and math.log2(n * (c - 0.75) / (entities[e] * terms[w])) >= beta * math.log2(n / entities[e])}
+
+
+def test_disclosed_terms_against_brute_force(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    want, seen = plain_terms(rows), 0
+    assert want
+    got = {r.doc_id: r for r in personal.scan_personal(d).collect()}
+    for i, t in rows:
+        base = [(s, e) for s, _, e in plain_personal(t)]
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{4,}", t or "") if m[0].lower() in want]
+        spans = [x for x in spans if not any(a < x[1] and x[0] < b for a, b in base)]
+        own = [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x.startswith("term")]
+        assert own == spans and got[i].n_term == len(spans)
+        seen += len(spans)
+    assert seen > 0
+
+
 def test_disclosing_terms(spark):
-    rows = [(i, f"contact zanzibar at boss@firm.example.com about plan number {'abcdefghij'[i]}", "en") for i in range(5)]
-    rows += [(50 + i, "about plan number contact nobody", "en") for i in range(40)]
+    rows = [(i, f"contact zanzibar at boss@firm.example.com about plan number {'abcdefghijklmnop'[i]}", "en") for i in range(12)]
+    rows += [(50 + i, "about plan number contact nobody", "en") for i in range(40)] + [(99, "no address but zanzibar, Zanzibar and zanzibar", "en")]
     got = {r.doc_id: r for r in personal.scan_personal(fixtures.docs(spark, rows)).collect()}
-    assert got[0].n_term >= 1 and "term:8:16" in got[0].spans.split(",")
-    assert "term:0:7" not in got[0].spans.split(",") and got[50].spans == ""
+    assert got[0].n_term == 1 and "term:8:16" in got[0].spans.split(",") and got[50].spans == ""
+    assert got[99].spans == "term:15:23,term:25:33,term:38:46" and got[99].base_spans == ""
+    forced = personal.scan_personal(fixtures.docs(spark, rows), broadcast_rows=-1)
+    assert {r.doc_id: r.spans for r in forced.collect()} == {i: r.spans for i, r in got.items()}
+
+
+@pytest.mark.parametrize("unit", ["12 ", "4111111111111111, ", "abcdef ", "a", " ", "1.1.1.1 ", "+1234567890 "])
+def test_personal_is_linear_in_long_texts(spark, unit):
+    import time
+
+    text = unit * (1_000_000 // len(unit))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = personal.scan_personal(d, text_out=True).first()
+    assert time.time() - began < 60 and r.n_email == 0
+    n = {"1.1.1.1 ": r.n_ip, "4111111111111111, ": r.n_card, "+1234567890 ": r.n_phone}.get(unit)
+    assert n is None or n == len(text) // len(unit) and r.text.count("[") == n
 
 
 # --- 5
