@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 #: Call -> (reply schema as DDL or None for plain text, retries, fallback reply).
 CALLS = {
-    "entry": ("go_deepsearch boolean, lang string", 1, None),
+    "entry": ("needs_research boolean, lang string", 1, None),
     "questions": (None, 3, ""),
     "outline": ("title string, thought string, sections array<struct<id:string,title:string,description:string,parent_ids:array<string>,relationships:array<string>>>", 3, None),
     "plan": ("title string, is_research_completed boolean, steps array<struct<id:string,title:string,description:string>>", 3, None),

@@ -73,10 +73,15 @@ def nice_axis(t):
     return t("part").select("p_partkey", F.round(C.nice_ceil(Q("p_retailprice")), 6).alias("top"))
 
 
-@query(None)
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS row FROM documents),
+h AS (SELECT doc_id, row, CAST((row - 1) % 3 + 1 AS INTEGER) AS level, s FROM l),
+i AS (SELECT *, count(*) FILTER (level < 2) OVER w AS i2, count(*) FILTER (level < 3) OVER w AS i3, count(*) FILTER (level = 1) OVER w AS c1 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY row)),
+c AS (SELECT *, count(*) FILTER (level = 2) OVER (PARTITION BY doc_id, i2 ORDER BY row) AS c2, count(*) FILTER (level = 3) OVER (PARTITION BY doc_id, i3 ORDER BY row) AS c3 FROM i)
+SELECT doc_id, CAST(row - 1 AS INTEGER) AS line, level, c1 || CASE WHEN level > 1 THEN '.' || c2 ELSE '' END || CASE WHEN level > 2 THEN '.' || c3 ELSE '' END AS number, ltrim(s, ' 	') AS title FROM c""")
 def heading_numbers(t):
-    """Headings made of the lines of each document, numbered by level."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 3 == 0, "# ").when(i % 3 == 1, "## ").otherwise("### "), F.substr(x, F.lit(1), F.lit(40))))
+    """Headings made of the whole lines of each document, numbered by level."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 3 == 0, "# ").when(i % 3 == 1, "## ").otherwise("### "), x))
     return H.renumbered(t("documents").select("doc_id", F.array_join(lines, "\n").alias("text")))
 
 

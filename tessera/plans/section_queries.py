@@ -27,13 +27,13 @@ def item_plans(t):
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, row, {PREFIXES}[(row - 1) % 7 + 1] || substr(s, 1, 20) AS line FROM ({LINES})),
+WITH l AS (SELECT doc_id, row, {PREFIXES}[(row - 1) % 7 + 1] || s AS line FROM ({LINES})),
 f AS (SELECT *, regexp_matches(line, '^\\s*(```|~~~)') AS fence FROM l),
 g AS (SELECT *, sum(CAST(fence AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY row) % 2 = 1 AS inside FROM f)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (fence OR inside OR regexp_matches(line, '^(    |\\t)') OR regexp_matches(line, '^\\s*(>|\\||\\d+[.)]\\s+|[-*+]\\s+)')) AS BIGINT) AS n_forbidden FROM g GROUP BY doc_id""")
 def forbidden_rows(t):
     mark = F.array(*map(F.lit, PREFIXES))
-    made = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.get(mark, i % 7), F.substr(x, F.lit(1), F.lit(20))))
+    made = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.get(mark, i % 7), x))
     rows = S.with_forbidden(S.lines_of(t("documents").select("doc_id", F.array_join(made, "\n").alias("text"))))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count_if("forbidden").alias("n_forbidden"))
 
@@ -157,8 +157,8 @@ def number_nodes(t):
     from tessera.operators.records import ordered_list
 
     c = t("conversations").where("text is not null")
-    step = F.struct(F.array(F.struct((Q("turn") % 3).cast("int").alias("ref"), F.lit(None).cast("string").alias("text")), F.struct(F.lit(None).cast("int").alias("ref"), Q("role").alias("text"))).alias("heads"), F.lit("supports").alias("relation"), F.substring("text", 1, 60).alias("tail"))
-    rows = c.groupBy(Q("conv_id").alias("inference_id")).agg(F.max(F.substring("text", 1, 60)).alias("conclusion"), ordered_list("turn", step).alias("edges"))
+    step = F.struct(F.array(F.struct((Q("turn") % 3).cast("int").alias("ref"), F.lit(None).cast("string").alias("text")), F.struct(F.lit(None).cast("int").alias("ref"), Q("role").alias("text"))).alias("heads"), F.lit("supports").alias("relation"), Q("text").alias("tail"))
+    rows = c.groupBy(Q("conv_id").alias("inference_id")).agg(F.max("text").alias("conclusion"), ordered_list("turn", step).alias("edges"))
     record = F.array(*[F.struct(F.lit(f"t{i}").alias("title"), F.lit(f"http://u{i % 2}").alias("url")) for i in range(3)])
     return N.numbered(rows.withColumn("records", record))
 
