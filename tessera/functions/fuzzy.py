@@ -12,6 +12,17 @@ def ratio_of(a: str, b: str) -> float:
     return 100.0 * SequenceMatcher(None, a or "", b or "").ratio()
 
 
+def ratio_over(a: str, b: str, bar: float) -> float:
+    """ratio_of, or 0 where bounds by lengths and letters show that it isn't over bar."""
+    a, b = a or "", b or ""
+    if a == b:
+        return 100.0
+    if 200.0 * min(len(a), len(b)) <= bar * (len(a) + len(b)):
+        return 0.0
+    m = SequenceMatcher(None, a, b)
+    return 100.0 * m.ratio() if 100.0 * m.quick_ratio() > bar else 0.0
+
+
 def partial_of(a: str, b: str) -> float:
     """Best ratio of the shorter string against each window of its length in the longer one."""
     short, long = sorted((a or "", b or ""), key=len)

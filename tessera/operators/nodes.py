@@ -41,7 +41,7 @@ class Numbering:
 
     def statement(self, text: str | None) -> int:
         text = (text or "").strip()
-        best = max(((fuzzy.ratio_of(text, known), -i) for i, known in enumerate(self.labels)), default=(0.0, 0))
+        best = max(((fuzzy.ratio_over(text, known, SAME_STATEMENT), -i) for i, known in enumerate(self.labels)), default=(0.0, 0))
         if best[0] > SAME_STATEMENT:
             return list(self.labels.values())[-best[1]]
         final = fuzzy.partial_of(text, self.conclusion) > CONCLUSION or fuzzy.token_set_of(text, self.conclusion) > CONCLUSION

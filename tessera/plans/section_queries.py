@@ -153,12 +153,12 @@ def draw_edges(t):
 
 @query(None)
 def number_nodes(t):
-    """Turns of each conversation as a chain of inferences over its records."""
+    """Parts of each brand and size as a chain of inferences over their records; names and types are read whole."""
     from tessera.operators.records import ordered_list
 
-    c = t("conversations").where("text is not null")
-    step = F.struct(F.array(F.struct((Q("turn") % 3).cast("int").alias("ref"), F.lit(None).cast("string").alias("text")), F.struct(F.lit(None).cast("int").alias("ref"), Q("role").alias("text"))).alias("heads"), F.lit("supports").alias("relation"), Q("text").alias("tail"))
-    rows = c.groupBy(Q("conv_id").alias("inference_id")).agg(F.max("text").alias("conclusion"), ordered_list("turn", step).alias("edges"))
+    said = F.concat_ws(" ", "p_name", "p_type")
+    step = F.struct(F.array(F.struct((Q("p_partkey") % 3).cast("int").alias("ref"), F.lit(None).cast("string").alias("text")), F.struct(F.lit(None).cast("int").alias("ref"), Q("p_type").alias("text"))).alias("heads"), F.lit("supports").alias("relation"), said.alias("tail"))
+    rows = t("part").groupBy(F.concat_ws("-", "p_brand", "p_size").alias("inference_id")).agg(F.max(said).alias("conclusion"), ordered_list("p_partkey", step).alias("edges"))
     record = F.array(*[F.struct(F.lit(f"t{i}").alias("title"), F.lit(f"http://u{i % 2}").alias("url")) for i in range(3)])
     return N.numbered(rows.withColumn("records", record))
 

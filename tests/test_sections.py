@@ -109,3 +109,16 @@ def test_removed_subgraphs(spark):
     kept, left = N.without_nodes(hyper, nodes, nodes.where("id = 3"))
     assert {r.edge_id for r in kept.collect()} == {2, 3} and {r.id for r in left.collect()} == {4, 5, 6}
     assert {(r.src, r.dst, r.label) for r in N.rendered(hyper.where("edge_id < 3")).collect()} == {("1", "e1", None), ("2", "e1", None), ("e1", "3", "r"), ("3", "4", "r")}
+
+
+def test_ratio_over_loses_nothing():
+    import random
+
+    from tessera.functions import fuzzy
+
+    rng = random.Random(1)
+    for _ in range(400):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randrange(30)))
+        b = "".join(c if rng.random() < 0.9 else "x" for c in a) + "z" * rng.randrange(4)
+        whole, got = fuzzy.ratio_of(a, b), fuzzy.ratio_over(a, b, 90.0)
+        assert got == whole if whole > 90 else got in (0.0, whole)
