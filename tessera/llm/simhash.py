@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 
 #: The near-copy stage: after SimHash, an exact join on shingles, rarest first; common ones are known from a sample of SAMPLE texts.
 SAMPLE, COMMON = 16_000, 100_000
-#: In buckets over CROWD nodes, SimHash proposes links before all that is left is compared; TILE nodes at once.
+#: In buckets over CROWD nodes, SimHash finds most links before all that is left is compared; TILE nodes at once.
 CROWD, TILE = 16, 4096
 
 
@@ -256,22 +256,6 @@ def prefix_length(n, similarity: float):
     return n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1
 
 
-def neighbours(fps: np.ndarray, sizes: np.ndarray, similarity: float, radius: int = 16, keep: int = 8, batch: int = 32) -> np.ndarray:
-    """(i, j) of each lane i and its `keep` nearest lanes j within radius, whose sizes allow the similarity; bit-sliced."""
-    table, out = planes(fps), []
-    for at in range(0, len(fps), batch):
-        heads = np.arange(at, min(at + batch, len(fps)))
-        flip = np.where((fps[heads][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), ONES, np.uint64(0))
-        near = lanes_of(within(lambda b, keep, f=flip: table[b][keep][None, :] ^ f[:, b][:, None], 64, (len(heads), table.shape[1]), radius), len(fps))
-        near &= np.minimum(sizes[heads][:, None], sizes) >= similarity * np.maximum(sizes[heads][:, None], sizes) - 1e-6
-        near[np.arange(len(heads)), heads] = False
-        for k, i in enumerate(heads):
-            lanes = np.flatnonzero(near[k])
-            lanes = lanes[np.argsort(np.bitwise_count(fps[lanes] ^ fps[i]), kind="stable")[:keep]]
-            out.append(np.stack([np.full(len(lanes), i), lanes], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sets of shingle hashes; two empty ones are alike."""
     if not len(a) or not len(b):
@@ -280,11 +264,34 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def near_forest(fps: np.ndarray, sketches: list[np.ndarray], similarity: float, radius: int = 20, keep: int = 64, batch: int = 32) -> np.ndarray:
+    """Edges (i, j) of alike sketches that join lanes into trees: each lane is compared, nearest fingerprint first, with
+    `keep` lanes of other trees within radius (found bit-sliced). All edges are right; lanes may be left apart."""
+    table, sizes, root, out = planes(fps), np.array([len(s) for s in sketches]), np.arange(len(fps)), []
+    for at in range(0, len(fps), batch):
+        heads = np.arange(at, min(at + batch, len(fps)))
+        flip = np.where((fps[heads][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), ONES, np.uint64(0))
+        near = lanes_of(within(lambda b, keep, f=flip: table[b][keep][None, :] ^ f[:, b][:, None], 64, (len(heads), table.shape[1]), radius), len(fps))
+        near &= np.minimum(sizes[heads][:, None], sizes) >= similarity * np.maximum(sizes[heads][:, None], sizes) - 1e-6
+        for k, i in enumerate(heads):
+            lanes = np.flatnonzero(near[k] & (root != root[i]))
+            lanes = lanes[np.argsort(np.bitwise_count(fps[lanes] ^ fps[i]), kind="stable")]
+            for _ in range(keep):
+                if not len(lanes):
+                    break
+                j, lanes = lanes[0], lanes[1:]
+                if sketch_similarity(sketches[i], sketches[j]) >= similarity:
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
+                    lanes = lanes[root[lanes] != root[i]]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 3, broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id and component_id of each row of docs whose texts are alike in `similarity` of their `width`-word shingles.
 
     Texts with equal words are one node. SimHash proposes the first links, bit-sliced: all fingerprints within `radius`,
-    and in crowded buckets of shingles each node's nearest ones. Links count if the shingles prove them. What SimHash
+    and in crowded buckets of shingles each node's nearest ones (near_forest). Links count if the shingles prove them. What SimHash
     can't see (a cut tail moves many bits) an exact join adds: two alike sets of shingles share one of the first items of
     each in a common order, so all pairs that still lie in different components meet in a bucket of such an item. A group
     whose members are alike costs pairs in proportion to its size, and no pair is left out. component_id is the smallest
@@ -338,15 +345,14 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     shared = nodes.select("node", "sketch").mapInArrow(prefixes, "item int, node long, n int, i int").withColumn("of", F.count("*").over(bucket))
     shared = cut(shared.where("of > 1").select("item", "node", "n", "i", "of"), "shared")
 
-    def nearest(rows: pa.Table) -> pa.Table:
+    def trees(rows: pa.Table) -> pa.Table:
         node, fps = rows.column("node").to_numpy(), rows.column("fp").to_numpy().view(np.uint64)
-        pairs = neighbours(fps, rows.column("n").to_numpy(), similarity)
-        u, v = node[pairs[:, 0]], node[pairs[:, 1]]
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+        pairs = near_forest(fps, [x.values.to_numpy() for x in rows.column("sketch")], similarity)
+        return pa.table({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
 
-    crowded = shared.where(F.col("of") > CROWD).groupBy("node").agg(F.max(F.struct("of", "item", "n")).alias("b")).select("node", "b.*")
-    crowded = crowded.join(nodes.select("node", "fp"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("of") / TILE)))
-    crowded = crowded.select("item", "tile", "node", "n", "fp").groupBy("item", "tile").applyInArrow(nearest, "u long, v long")
+    crowded = shared.where(F.col("of") > CROWD).groupBy("node").agg(F.max(F.struct("of", "item")).alias("b")).select("node", "b.*")
+    crowded = nodes.join(small(crowded, "crowded"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("of") / TILE)))
+    crowded = crowded.select("item", "tile", "node", "fp", "sketch").groupBy("item", "tile").applyInArrow(trees, "u long, v long")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         """The pairs (u, v) that are alike."""
@@ -364,7 +370,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
         drop_cut(held)
         return out
 
-    linked = verified(proposed.union(crowded).distinct(), "proposed")
+    linked = cut(verified(proposed.distinct(), "proposed").union(crowded), "linked", total)
     roots = components(linked, rows=total)
     placed = shared.join(small(roots, "placed"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = placed.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket))

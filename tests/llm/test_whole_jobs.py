@@ -72,18 +72,20 @@ def test_near_copies_in_crowded_buckets(spark):
     assert 1 < len(set(want)) < len(texts) and [got[i] for i in range(len(texts))] == want
 
 
-def test_neighbours_are_the_nearest():
+def test_near_forest_links_only_what_is_alike():
     rng = np.random.default_rng(6)
-    base = rng.integers(0, 1 << 62, 9, dtype=np.uint64)
-    f = base[rng.integers(0, 9, 300)]
+    sketches = []
     for _ in range(6):
-        f = f ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
-    sizes = rng.integers(50, 90, 300)
-    got = simhash.neighbours(f, sizes, 0.8, radius=16, keep=5)
-    for i in range(300):
-        d = np.bitwise_count(f ^ f[i]).astype(int)
-        ok = [j for j in range(300) if j != i and d[j] <= 16 and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])]
-        assert sorted(d[j] for k, j in got if k == i) == sorted(d[j] for j in ok)[:5] and {j for k, j in got if k == i} <= set(ok)
+        own = rng.choice(1 << 30, 100, replace=False)
+        for _ in range(20):
+            kept = rng.random(100) > rng.choice([0.02, 0.3])
+            sketches.append(np.unique(np.concatenate([own[kept], rng.choice(1 << 30, int((~kept).sum()))])).astype(np.int32))
+    sketches = [sketches[i] for i in rng.permutation(len(sketches))]
+    fps = np.array([simhash.majority(s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in sketches], np.uint64)
+    alike = [(i, j) for i in range(len(fps)) for j in range(i) if simhash.sketch_similarity(sketches[i], sketches[j]) >= 0.8]
+    got = simhash.near_forest(fps, sketches, 0.8).tolist()
+    assert {(max(e), min(e)) for e in got} <= set(alike) and len(got) < len(fps)
+    assert components(len(fps), got) == components(len(fps), alike)
 
 
 def test_components_in_one_task_and_by_rounds_agree(spark):
