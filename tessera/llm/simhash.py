@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The near-copy stage: after SimHash, an exact join on shingles, rarest first; common ones are known from a sample of SAMPLE texts.
+#: The near-copy stage: after SimHash, an exact join on shingles, rarest first; common ones are known from SAMPLE texts or a quarter of all, whichever are more.
 SAMPLE, COMMON = 16_000, 100_000
 #: In buckets over CROWD nodes, SimHash finds most links before all that is left is compared; TILE nodes at once.
 CROWD, TILE = 16, 4096
@@ -323,7 +323,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     links = links.join(heads, "fp").select(F.col("head").alias("u"), F.col("fpv").alias("fp")).join(heads, "fp").select("u", F.col("head").alias("v"))
     proposed = same.union(links)
 
-    seen = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, total // SAMPLE))) == 0).select(F.explode("sketch").alias("item")).groupBy("item").count().where("count > 1")
+    seen = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, min(4, total // SAMPLE)))) == 0).select(F.explode("sketch").alias("item")).groupBy("item").count().where("count > 1")
     common = seen.orderBy(F.desc("count"), "item").limit(COMMON).toPandas().sort_values("item")
     items, counts = common["item"].to_numpy(np.int32), common["count"].to_numpy(np.int64)
 
