@@ -242,6 +242,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 SAMPLE, COMMON = 16_000, 100_000
 #: In buckets over CROWD nodes, SimHash finds most links before all that is left is compared; TILE nodes at once.
 CROWD, TILE = 16, 4096
+#: Slots of a tally: how many of a set's items fall into each, 255 at most.
+SLOTS = 256
 
 
 def sketch(text: str | None, width: int) -> tuple[int, int, np.ndarray]:
@@ -264,6 +266,18 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def tally(a: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each of SLOTS slots, a byte each."""
+    return np.minimum(np.bincount(a & (SLOTS - 1), minlength=SLOTS), 255).astype(np.uint8).tobytes()
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
+    """Mask of pairs of tallies (a row each) that the sets' similarity may still reach: sets differ in as many items as their
+    tallies do at least, and alike ones in (1 - similarity) / (1 + similarity) of their sizes' sum at most. No alike pair is lost."""
+    apart = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=1, dtype=np.int64)
+    return apart <= (na + nb) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
 def near_forest(fps: np.ndarray, sketches: list[np.ndarray], similarity: float, radius: int = 20, keep: int = 64, batch: int = 32) -> np.ndarray:
     """Edges (i, j) of alike sketches that join lanes into trees: each lane is compared, nearest fingerprint first, with
     `keep` lanes of other trees within radius (found bit-sliced). All edges are right; lanes may be left apart."""
@@ -354,6 +368,28 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     crowded = nodes.join(small(crowded, "crowded"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("of") / TILE)))
     crowded = crowded.select("item", "tile", "node", "fp", "sketch").groupBy("item", "tile").applyInArrow(trees, "u long, v long")
 
+    def tallies(batches):
+        for b in slices(batches):
+            held = [x.values.to_numpy() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in held], pa.int32()), pa.array([tally(x) for x in held], pa.binary())], names=["node", "n", "tally"])
+
+    def plausible(pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs (u, v) that may be alike by the tallies of their shingles: a fraction of the sketches' bytes."""
+        edges = cut(pairs.select("u", "v"), label, total)
+        ends = small(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "tallied")
+        held = nodes.select("node", "sketch").join(ends, "node", "left_semi").mapInArrow(tallies, "node long, n int, tally binary")
+        held = cut(held, "tallies", total)
+        both = edges.join(held.toDF("u", "nu", "a"), "u").join(held.toDF("v", "nv", "b"), "v").select("u", "v", "nu", "nv", "a", "b")
+
+        def keep(batches):
+            for b in slices(batches, 4096):
+                nu, nv = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS) for i in (4, 5))
+                ok = pa.array(may_be_alike(x, y, nu, nv, similarity), pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
+
+        return both.mapInArrow(keep, "u long, v long")
+
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         """The pairs (u, v) that are alike."""
         edges = cut(pairs.select("u", "v"), label, total)
@@ -380,7 +416,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     overlap = F.ceil(similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - 1e-6)  # the first common item has so many from it on in both
     meet = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.col("iu") <= F.col("nu") - overlap) & (F.col("iv") <= F.col("nv") - overlap)
     meet = meet & (F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-6)
-    rest = verified(mine.join(other, (mine["item"] == other["item"]) & meet).select("u", "v").distinct(), "rest")
+    rest = verified(plausible(mine.join(other, (mine["item"] == other["item"]) & meet).select("u", "v").distinct(), "met"), "rest")
     roots = components(rest.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), rows=total)
     whole, rows = rows, cut(rows.select("doc_id", "node"), "nodes", total)
     drop_cut(whole)

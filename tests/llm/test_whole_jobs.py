@@ -97,3 +97,21 @@ def test_components_in_one_task_and_by_rounds_agree(spark):
     assert both[0] == both[1] and len(set(both[0].values())) > 20
     none = edges.limit(0)
     assert spread(none).count() == 0 and spread(none, in_one_task=-1).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 300, 4000, 90_000])
+def test_tallies_lose_no_alike_pair(size):
+    """Pairs just above, at and far below the threshold, over sizes where slots stay empty and where they overflow a byte."""
+    rng = np.random.default_rng(size)
+    for part in (0.0, 0.02, 0.1, 0.111, 0.3, 1.0):
+        pool = np.unique(rng.integers(0, 1 << 31, 3 * size + 8))
+        rng.shuffle(pool)
+        moved = int(part * size)
+        a, b = np.sort(pool[:size]), np.sort(np.r_[pool[moved:size], pool[size : size + moved]])
+        sizes = np.array([len(a)]), np.array([len(b)])
+        rows = [np.frombuffer(simhash.tally(x.astype(np.int32)), np.uint8).reshape(1, -1) for x in (a, b)]
+        may = bool(simhash.may_be_alike(*rows, *sizes, 0.8)[0])
+        if simhash.sketch_similarity(a, b) >= 0.8:
+            assert may
+        if part == 1.0 and size in (300, 4000):
+            assert not may
