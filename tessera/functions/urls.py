@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import fuzzy
+
 #: Endings that are cut from a host, in this order.
 HOST_RULES = [
     (r"\.com-([a-z]+)$", ".com"),
@@ -52,5 +54,15 @@ def same_page(a: Column, b: Column) -> Column:
     return (x == y) | ((part(x, 2) == part(y, 2)) & (part(x, 3) == part(y, 3)))
 
 
+def similar_pages(a: Column, b: Column, threshold: float = 0.9) -> Column:
+    """same_page, or repaired urls whose Ratcliff-Obershelp ratio is threshold at least; null urls are similar to none.
+
+    Only pairs whose lengths allow the ratio are compared.
+    """
+    x, y = normal_url(a), normal_url(b)
+    close = F.when(fuzzy.may_reach(x, y, 100 * threshold), fuzzy.ratio(x, y)).otherwise(0.0) >= 100 * threshold
+    return F.coalesce(same_page(a, b) | close, F.lit(False))
+
+
 def host_of(url: Column) -> Column:
     return F.when(url.startswith("http"), F.regexp_extract(url, "^https?://([^/?#]*)", 1)).otherwise(url)

@@ -15,7 +15,7 @@ Q = F.col
 
 
 @query("""
-SELECT event_id % 97 AS thread, CASE WHEN event_type = 'click' THEN 'SummaryNode' ELSE 'ReporterNode' END AS node, CASE WHEN event_type = 'click' THEN 'InfoCollectorNode' ELSE 'None' END AS parent, count(*) AS calls,
+SELECT event_id % 97 AS thread, CASE WHEN event_type = 'click' THEN 'SummaryNode' ELSE 'ReporterNode' END AS node, CASE WHEN event_type = 'click' THEN 'SummaryNode' ELSE 'None' END AS parent, count(*) AS calls,
   CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS millis, CAST(min(event_id % 5) AS INTEGER) AS low_section, max(epoch_us(ts) // 1000) AS last
 FROM events WHERE round(value, 3) > 0 GROUP BY ALL""")
 def metrics_log(t):
@@ -78,7 +78,8 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_sub
 h AS (SELECT doc_id, row, CAST((row - 1) % 3 + 1 AS INTEGER) AS level, s FROM l),
 i AS (SELECT *, count(*) FILTER (level < 2) OVER w AS i2, count(*) FILTER (level < 3) OVER w AS i3, count(*) FILTER (level = 1) OVER w AS c1 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY row)),
 c AS (SELECT *, count(*) FILTER (level = 2) OVER (PARTITION BY doc_id, i2 ORDER BY row) AS c2, count(*) FILTER (level = 3) OVER (PARTITION BY doc_id, i3 ORDER BY row) AS c3 FROM i)
-SELECT doc_id, CAST(row - 1 AS INTEGER) AS line, level, c1 || CASE WHEN level > 1 THEN '.' || c2 ELSE '' END || CASE WHEN level > 2 THEN '.' || c3 ELSE '' END AS number, ltrim(s, ' 	') AS title FROM c""")
+SELECT doc_id, CAST(row - 1 AS INTEGER) AS line, level, c1 || CASE WHEN level > 1 THEN '.' || c2 ELSE '' END || CASE WHEN level > 2 THEN '.' || c3 ELSE '' END AS number, ltrim(s, ' 	
+') AS title FROM c""")
 def heading_numbers(t):
     """Headings made of the whole lines of each document, numbered by level."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 3 == 0, "# ").when(i % 3 == 1, "## ").otherwise("### "), x))

@@ -210,8 +210,10 @@ def test_files_and_logs(spark, tmp_path):
     lines = logs.read_logs(spark, str(tmp_path / "metrics.log*"))
     assert [r.file_rank for r in lines.orderBy("file_rank").collect()] == [-1, -1, 0, 0]
     runs = logs.node_runs(lines).collect()
-    assert sorted((r.section_idx or -1, r.duration, r.parent) for r in runs) == [(-1, 1.5, "InfoCollectorNode"), (2, 1.5, "InfoCollectorNode")]
-    assert logs.summary(logs.node_runs(lines)).first().calls == 2
+    assert [(r.section_idx, r.duration, r.parent) for r in runs] == [(2, 1.5, "SummaryNode")]  # lines without a section don't count
+    collector = lines.unionByName(spark.createDataFrame([(line.replace("Summary", "InfoCollector"), 0)], "value string, file_rank int"))
+    assert {(r.node, r.parent) for r in logs.node_runs(collector).collect()} == {("SummaryNode", "InfoCollectorNode"), ("InfoCollectorNode", "EditorTeamNode")}
+    assert logs.summary(logs.node_runs(lines)).first().calls == 1
     assert base64.b64decode(one(spark, F.base64(F.lit("é").cast("binary")))).decode() == "é"
 
 
