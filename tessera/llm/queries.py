@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, packing, personal, quality, secrets, sharding, simhash, syncmers, toxicity, urls
+from tessera.llm import conversations, decontaminate, licenses, packing, periods, personal, quality, secrets, sharding, simhash, syncmers, toxicity, urls
 from tessera.llm.common import table
 
 SHARD_BYTES = 16 << 20
@@ -56,12 +58,62 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_literal")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+    def labels(c: str) -> F.Column:
+        return F.array_distinct(F.transform(c, lambda d: d["label"]))
+
+    starts = F.transform("base", lambda d: d["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.sort_array(labels("base")), ",").alias("base_labels"), F.array_join(F.sort_array(F.array_union(labels("base"), labels("licenses"))), ",").alias("labels"), "score",
+        F.array_join(F.transform("licenses", lambda d: F.concat_ws(":", d["label"], d["start"], d["end"])), ",").alias("spans"),
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns of conversations with faults: one of twenty is dropped (`gone`), emptied, loses its sentence marks, comes twice, has the role user."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    kind = F.crc32(key.cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    own = turns.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"), (kind == 0).alias("gone"), F.when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+    return own.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
+def made_periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """For one id of ten, the words from a place on repeat themselves; a null id leaves them alone."""
+    n, h = len(words), 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), edit=made_periodic)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    own = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return own.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = [op1_simhash, op2_quality, op3_packing, op4_personal, op5_syncmers, op6_decontamination, op7_sharding, op8_toxicity, op9_urls, op10_secrets]
+    own = [op1_simhash, op2_quality, op3_packing, op4_personal, op5_syncmers, op6_decontamination, op7_sharding, op8_toxicity, op9_urls, op10_secrets, op11_licenses, op12_conversations, op13_periods]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontaminate.SQL, "op7_sharding": sharding.SQL.format(limit=SHARD_BYTES), "op9_urls": urls.SQL}
+    return {"op6_decontamination": decontaminate.SQL, "op7_sharding": sharding.SQL.format(limit=SHARD_BYTES), "op9_urls": urls.SQL, "op12_conversations": conversations.SQL}
