@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -33,6 +34,43 @@ def partial_of(a: str, b: str) -> float:
     return max(ratio_of(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
 
 
+def common_of_windows(short: str, long: str) -> np.ndarray:
+    """Length of the longest common subsequence of short with each window of its length in long, all windows at once, 63 bits a word."""
+    n, w = len(short), len(long) - len(short) + 1
+    words, full = -(-n // 63), np.uint64((1 << 63) - 1)
+    masks: dict[str, list[int]] = {}
+    for i, c in enumerate(short):
+        masks.setdefault(c, [0] * words)[i // 63] |= 1 << i % 63
+    none = [0] * words
+    has = np.array([masks.get(c, none) for c in long], dtype=np.uint64).T.copy()
+    left = np.full((words, w), full)
+    for j in range(n):
+        carry = np.uint64(0)
+        for k in range(words):
+            m, v = has[k, j : j + w], left[k]
+            s = v + (v & m) + carry
+            carry = s >> np.uint64(63)
+            left[k] = (s & full) | (v & ~m)
+    left[-1] |= full & ~np.uint64((1 << (n - 63 * (words - 1))) - 1)
+    return 63 * words - np.bitwise_count(left).sum(axis=0).astype(np.int64)
+
+
+def partial_over(a: str, b: str, bar: float) -> bool:
+    """Whether partial_of is over bar. A window's ratio is at most its share of a common subsequence; the likeliest come first."""
+    short, long = sorted((a or "", b or ""), key=len)
+    if not short:
+        return not long and bar < 100.0
+    if short in long:
+        return bar < 100.0
+    n, common = len(short), common_of_windows(short, long)
+    for i in np.argsort(-common, kind="stable"):
+        if 100.0 * common[i] / n <= bar:
+            return False
+        if ratio_of(short, long[i : i + n]) > bar:
+            return True
+    return False
+
+
 def token_set_of(a: str, b: str) -> float:
     x, y = set((a or "").lower().split()), set((b or "").lower().split())
     if not x and not y:
@@ -48,6 +86,11 @@ def _column(f, a, b) -> F.Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
+def reached(a, b, bar: float) -> F.Column:
+    """The ratio where it may be bar or more, else 0."""
+    return _column(lambda x, y: ratio_over(x, y, bar - 1e-9), a, b)
+
+
 def ratio(a, b) -> F.Column:
     return _column(ratio_of, a, b)
 
@@ -58,9 +101,3 @@ def partial_ratio(a, b) -> F.Column:
 
 def token_set_ratio(a, b) -> F.Column:
     return _column(token_set_of, a, b)
-
-
-def may_reach(a: F.Column, b: F.Column, threshold: float) -> F.Column:
-    """Lossless filter before ratio: it can't be over 2 * min / (a + b) of the lengths."""
-    x, y = F.length(a), F.length(b)
-    return (x + y == 0) | (200.0 * F.least(x, y) / F.greatest(x + y, F.lit(1)) >= threshold)

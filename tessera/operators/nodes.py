@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import fuzzy
+from tessera.functions.grams import meeting_tokens
 
 #: What merges two statements, what makes one a conclusion, what marks a fragment, and a record with no page.
 SAME_STATEMENT, CONCLUSION, FRAGMENT = 90.0, 60.0, 90.0
@@ -23,10 +24,17 @@ EDGES = "array<struct<heads:array<int>,relation:string,tail:int>>"
 
 
 class Numbering:
-    """Ids in the order of first appearance. Records are one node for each url; statements join the most similar earlier one."""
+    """Ids in the order of first appearance. Records are one node for each url; statements join the most similar earlier one.
 
-    def __init__(self, conclusion: str):
-        self.conclusion, self.nodes, self.by_key, self.labels = conclusion or "", [], {}, {}
+    Earlier statements are found by tokens that two alike texts have in common (functions.grams), so a statement meets few of them.
+    often orders those tokens by how often they occur.
+    """
+
+    def __init__(self, conclusion: str, often: dict[str, int]):
+        self.conclusion, self.nodes, self.by_key, self.often = conclusion or "", [], {}, often
+        self.labels: list[tuple[str, int]] = []
+        self.same: dict[str, int] = {}
+        self.by_token: dict[str, list[int]] = {}
 
     def add(self, key: tuple, label: str, url: str | None, kind: str) -> int:
         if key not in self.by_key:
@@ -41,16 +49,29 @@ class Numbering:
 
     def statement(self, text: str | None) -> int:
         text = (text or "").strip()
-        best = max(((fuzzy.ratio_over(text, known, SAME_STATEMENT), -i) for i, known in enumerate(self.labels)), default=(0.0, 0))
+        if text in self.same:
+            return self.same[text]
+        own = meeting_tokens(text, SAME_STATEMENT, self.often)
+        met = {i for t in own for i in self.by_token.get(t, ())}
+        best = max(((fuzzy.ratio_over(text, self.labels[i][0], SAME_STATEMENT), -i) for i in met), default=(0.0, 0))
         if best[0] > SAME_STATEMENT:
-            return list(self.labels.values())[-best[1]]
-        final = fuzzy.partial_of(text, self.conclusion) > CONCLUSION or fuzzy.token_set_of(text, self.conclusion) > CONCLUSION
-        self.labels[text] = self.add(("text", text), text, None, "conclusion" if final else "statement")
-        return self.labels[text]
+            return self.labels[-best[1]][1]
+        final = fuzzy.token_set_of(text, self.conclusion) > CONCLUSION or fuzzy.partial_over(text, self.conclusion, CONCLUSION)
+        node = self.same[text] = self.add(("text", text), text, None, "conclusion" if final else "statement")
+        for t in own:
+            self.by_token.setdefault(t, []).append(len(self.labels))
+        self.labels.append((text, node))
+        return node
+
+
+def often_in(edges) -> dict[str, int]:
+    """How many statements of the edges have each pair of characters, and each single one."""
+    said = {(x or "").strip() for e in edges for x in [e["tail"], *(h["text"] for h in e["heads"])]}
+    return Counter(g for s in said for g in {*s, *(s[i : i + 2] for i in range(len(s) - 1))})
 
 
 def number_edges(edges, records, conclusion: str) -> tuple[list, list]:
-    at, out = Numbering(conclusion), []
+    at, out = Numbering(conclusion, often_in(edges)), []
     for e in edges:
         heads = []
         for h in e["heads"]:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.fuzzy import reached
+from tessera.functions.grams import meeting_tokens
+from tessera.operators.graph import settled
+
 
 def ranked(df: DataFrame, within: list[str], order: list, k: int) -> DataFrame:
     w = Window.partitionBy(*within).orderBy(*order)
@@ -94,16 +101,59 @@ def contained(docs: DataFrame, passages: DataFrame, block_chars: int = 1 << 24)
     return out
 
 
-def best_fuzzy(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """id, match_id and score of the best ratio of each left text among right texts of its group; ties to the smaller id.
+def often_in(texts: DataFrame, keep: int = 4096) -> dict[str, int]:
+    """In how many texts the most frequent pairs of characters and single ones occur; keep of them, so of bounded size."""
+
+    def run(batches):
+        n: Counter = Counter()
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                n.update({*s, *(s[i : i + 2] for i in range(len(s) - 1))})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["gram", "n"])
+
+    found = texts.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r.gram: r.n for r in found.orderBy(F.desc("n"), "gram").limit(keep).collect()}
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """lid, rid and score of each left and right text of one group (grp, id, text; ids and texts of a side distinct) whose ratio is threshold or more.
+
+    Texts that are equal are left out. Candidates come from an equi-join on group and token (functions.grams), not from all pairs
+    of a group, and only within the lengths that the ratio allows; no pair that reaches the threshold is missed.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = left.sparkSession.sparkContext.broadcast(often_in(left.select("text").unionByName(right.select("text"))))
+
+    @F.pandas_udf("array<string>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: meeting_tokens(s, threshold, often.value))
+
+    def dealt(side: DataFrame, name: str) -> DataFrame:
+        return side.repartition(parts, "id").select(F.col("grp").alias("_g"), F.col("id").alias(f"{name}id"), F.length("text").alias(f"{name}n"), F.explode(tokens("text")).alias("_t"))
+
+    # as many parts as a shuffle has, though they be small: texts take long for their bytes; pairs dealt by lid are distinct without another shuffle
+    n, m = F.col("ln"), F.col("rn")
+    near = dealt(left, "l").join(dealt(right, "r"), ["_g", "_t"]).where(200.0 * F.least(n, m) >= threshold * (n + m)).select("lid", "rid").repartition(parts, "lid").distinct()
+    texts = near.join(left.select(F.col("id").alias("lid"), F.col("text").alias("a")), "lid").join(right.select(F.col("id").alias("rid"), F.col("text").alias("b")), "rid").where("a <> b")
+    return texts.withColumn("score", reached("a", "b", threshold)).where(F.col("score") >= threshold).select("lid", "rid", "score")
+
+
+def best_fuzzy(left: DataFrame, right: DataFrame, threshold: float, limit: int = 1) -> DataFrame:
+    """id, match_id, score and rank of the `limit` best ratios of each left text among right texts of its group; ties to the smaller id.
 
-    Equal texts are matched by an equi-join; only the rest goes through the length bound into the ratio.
+    left, right: grp, id (of one kind, distinct within a side), text. Null groups and texts have no match; threshold is over 0. Each different text is
+    compared once however often it occurs; of equal right texts the `limit` smallest ids are taken.
     """
-    from tessera.functions.fuzzy import may_reach, ratio
-
-    r = right.select("grp", F.col("id").alias("match_id"), F.col("text").alias("other"))
-    exact = left.join(r, (left["grp"] == r["grp"]) & (left["text"] == r["other"])).groupBy("id").agg(F.min("match_id").alias("match_id")).withColumn("score", F.lit(100.0))
-    rest = left.join(exact, "id", "left_anti").join(r, "grp").where(may_reach(F.col("text"), F.col("other"), threshold))
-    scored = rest.withColumn("score", ratio("text", "other")).where(F.col("score") >= threshold)
-    best = ranked(scored, ["id"], [F.desc("score"), "match_id"], 1).select("id", "match_id", "score")
-    return exact.unionByName(best)
+    keys = ["grp", "text"]
+    lefts, rights = (side.where("grp is not null and text is not null").groupBy(*keys) for side in (left, right))
+    lefts = lefts.agg(F.min("id").alias("id"))
+    rights = rights.agg(F.min("id").alias("id")) if limit == 1 else rights.agg(F.min("id").alias("id"), F.slice(F.sort_array(F.collect_set("id")), 1, limit).alias("ids"))
+    lefts, rights = settled(lefts), settled(rights)  # each is read several times
+    same = lefts.join(rights.select(*keys, F.col("id").alias("rid")), keys).select(F.col("id").alias("lid"), "rid", F.lit(100.0).alias("score"))
+    rest = lefts.join(same, lefts["id"] == same["lid"], "left_anti") if limit == 1 else lefts
+    scored = same.unionByName(alike_pairs(rest, rights.select(*keys, "id"), threshold))
+    if limit > 1:
+        scored = scored.join(rights.select(F.col("id").alias("rid"), "ids"), "rid").select("lid", "score", F.explode("ids").alias("rid"))
+    best = ranked(scored, ["lid"], [F.desc("score"), "rid"], limit)
+    own = left.select("id", *keys).join(lefts.select(*keys, F.col("id").alias("lid")), keys)
+    return own.join(best, "lid").select("id", F.col("rid").alias("match_id"), "score", "rank")

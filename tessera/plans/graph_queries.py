@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import graph as G
 from tessera.operators import outline as O
 from tessera.operators import retrieve as V
@@ -126,8 +127,22 @@ def chunk_accumulation(t):
     return E.accumulated(t("conversations")).select("conv_id", F.length("content").cast("long").alias("chars"), "parts")
 
 
+def said_sentences(t):
+    """Sentences of documents, and every fifth of them as somebody would give it from memory: without its commas and second word."""
+    every = t("documents").select("doc_id", F.posexplode(X.sentences(Q("text"))).alias("at", "text")).where("length(text) > 0")
+    every = every.select(Q("doc_id").alias("grp"), F.format_string("%012d-%06d", "doc_id", "at").alias("id"), "text")
+    recalled = F.regexp_replace(F.translate("text", ",", ""), "^(\\S+) \\S+", "$1")
+    return every.where(F.crc32(Q("id").cast("binary")) % 5 == 0).withColumn("text", recalled), every
+
+
 @query(None)
 def fuzzy_best_match(t):
-    """Role-wise nearest short turn of each turn that begins a conversation."""
-    c = t("conversations").select(F.xxhash64("conv_id", "turn", "text").alias("id"), Q("conv_id").alias("grp"), "turn", F.coalesce("text", F.lit("")).alias("text"))
-    return V.best_fuzzy(c.where("turn = 0").drop("turn"), c.where("turn > 0").drop("turn"), 50.0)
+    """The sentence of its document that each sentence given from memory is most like."""
+    return V.best_fuzzy(*said_sentences(t), 80.0)
+
+
+@query(None)
+def fuzzy_choices(t):
+    """For every second url the three of its host's others that are most like it."""
+    own = t("pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("grp"), Q("page_id").alias("id"), Q("url").alias("text"))
+    return V.best_fuzzy(own.where("id % 2 = 0"), own.where("id % 2 = 1"), 75.0, limit=3)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import nodes as N
 from tessera.operators import sections as S
 from tessera.plans.base import query
@@ -153,12 +154,19 @@ def draw_edges(t):
 
 @query(None)
 def number_nodes(t):
-    """Parts of each brand and size as a chain of inferences over their records; names and types are read whole."""
+    """Turns of each conversation, whole, as a chain of inferences over its records, with the last sentence of its last turn as conclusion.
+
+    What a user says is said again at the turn after the next with a word more, so that statements are merged.
+    """
     from tessera.operators.records import ordered_list
 
-    said = F.concat_ws(" ", "p_name", "p_type")
-    step = F.struct(F.array(F.struct((Q("p_partkey") % 3).cast("int").alias("ref"), F.lit(None).cast("string").alias("text")), F.struct(F.lit(None).cast("int").alias("ref"), Q("p_type").alias("text"))).alias("heads"), F.lit("supports").alias("relation"), said.alias("tail"))
-    rows = t("part").groupBy(F.concat_ws("-", "p_brand", "p_size").alias("inference_id")).agg(F.max(said).alias("conclusion"), ordered_list("p_partkey", step).alias("edges"))
+    own = t("conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    again = own.where("turn % 2 = 0").select("conv_id", (Q("turn") + 2).alias("turn"), F.concat(F.lit("so "), "text").alias("head"))
+    ref = F.struct((Q("turn") % 3).cast("int").alias("ref"), F.lit(None).cast("string").alias("text"))
+    said = F.struct(F.lit(None).cast("int").alias("ref"), F.coalesce("head", "text").alias("text"))
+    step = F.struct(F.array(ref, said).alias("heads"), F.lit("supports").alias("relation"), Q("text").alias("tail"))
+    last = F.element_at(X.sentences(F.max_by("text", "turn")), -1)
+    rows = own.join(again, ["conv_id", "turn"], "left").groupBy(Q("conv_id").alias("inference_id")).agg(last.alias("conclusion"), ordered_list("turn", step).alias("edges"))
     record = F.array(*[F.struct(F.lit(f"t{i}").alias("title"), F.lit(f"http://u{i % 2}").alias("url")) for i in range(3)])
     return N.numbered(rows.withColumn("records", record))
 
