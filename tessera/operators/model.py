@@ -16,7 +16,7 @@ CALLS = {
     "entry": ("needs_research boolean, lang string", 1, None),
     "questions": (None, 3, ""),
     "outline": ("title string, thought string, sections array<struct<id:string,title:string,description:string,parent_ids:array<string>,relationships:array<string>>>", 3, None),
-    "plan": ("title string, is_research_completed boolean, steps array<struct<id:string,title:string,description:string>>", 3, None),
+    "plan": ("title string, is_research_completed boolean, steps array<struct<id:string,title:string,description:string,parent_ids:array<string>,relationships:array<string>>>", 3, None),
     "queries": ("queries array<string>, description string", 3, None),
     "tool_call": ("name string, args map<string,string>", 3, None),
     "evaluate": ("items array<struct<content:int,doc_time:string,scores:map<string,double>>>", 5, '{"items": []}'),
