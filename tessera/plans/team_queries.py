@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tessera.operators import team
+from tessera.operators import report_flows, team
 from tessera.plans.base import query
 
 Q = F.col
@@ -76,3 +76,94 @@ def blocked_steps(t):
     roots = own.select("outline_id", F.lit("root").alias("id"), F.array().cast("array<string>").alias("parent_ids")).distinct()
     done = team.ready_rounds(items.unionByName(roots), lambda r: r.select("outline_id", "id", F.lit("x").alias("result")), ["outline_id"])
     return done.select("outline_id", "id", "round")
+
+
+def classifier(prompts: list[str]) -> list[str]:
+    """Names the documents of even parts; some sections get no reply that can be read, some no document."""
+    out = []
+    for p in map(json.loads, prompts):
+        key = int(p["report_id"])
+        out.append("oops" if key % 13 == 0 else json.dumps({"core_content_url_list": [] if key % 11 == 0 else [d["url"] for d in p["docs"] if int(d["title"]) % 2 == 0]}))
+    return out
+
+
+def outliner(prompts: list[str]) -> list[str]:
+    """An outline of valid form, for some sections only at the third attempt, for some never."""
+    out = []
+    for p in map(json.loads, prompts):
+        key, n = int(p["of"]["report_id"]), p["of"]["section"]
+        good = key % 7 or p["attempt"] == 2 and key % 5
+        out.append(f"{n}. Title\n{n}.1 part\n{n}.2 part" if good else f"{n}. Title")
+    return out
+
+
+def writer(prompts: list[str]) -> list[str]:
+    """How many documents and charts a section has; some get no text."""
+    asked = [json.loads(p)["of"] for p in prompts]
+    return ["" if int(p["report_id"]) % 17 == 0 else f"{p['report_id']}.{p['section']}: {len(p['docs'])} and {len(p['charts'])}" for p in asked]
+
+
+@query("""
+WITH i AS (SELECT l_orderkey AS o, l_linenumber % 2 + 1 AS section, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
+u AS (SELECT o, section, p % 20 AS u, arg_max(p, n) AS p, bool_or(p % 2 = 0) AS named FROM i GROUP BY ALL),
+d AS (SELECT o, section, count(*) FILTER (named) AS docs, count(*) FILTER (named AND p % 3 = 0) AS charts FROM u GROUP BY ALL),
+s AS (SELECT o_orderkey AS o, unnest([1, 2]) AS section FROM orders),
+r AS (SELECT s.o, s.section, coalesce(docs, 0) AS docs, coalesce(charts, 0) AS charts, CASE WHEN docs IS NULL THEN 'no documents' WHEN s.o % 13 = 0 THEN 'classification failed' WHEN s.o % 11 = 0 OR docs = 0 THEN 'no documents chosen'
+  WHEN s.o % 7 = 0 AND s.o % 5 = 0 THEN 'outline failed' WHEN s.o % 17 = 0 THEN 'text failed' END AS error FROM s LEFT JOIN d ON s.o = d.o AND s.section = d.section)
+SELECT CAST(o AS VARCHAR) AS report_id, CAST(section AS INTEGER) AS section, error, CASE WHEN error IS NULL THEN o || '.' || section || ': ' || docs || ' and ' || charts END AS text,
+  CAST(CASE WHEN error IN ('no documents', 'classification failed', 'no documents chosen') THEN 0 ELSE docs END AS INTEGER) AS docs FROM r""")
+def section_reports(t):
+    """Two sections for each order, over its lines as documents; a third of them has numbers for a chart."""
+    n = (Q("l_linenumber") % 2 + 1).cast("int")
+    w = team_window().partitionBy("l_orderkey", n)
+    numbers = '{"image_title": "t", "image_type": "bar", "unit": "u", "records": [["a", "1", "x"], ["b", "2", "x"], ["c", "4", "x"]]}'
+    content = F.when(Q("l_partkey") % 3 == 0, numbers).otherwise("no numbers")
+    docs = t("lineitem").select(Q("l_orderkey").cast("string").alias("report_id"), n.alias("section"), (F.row_number().over(w) - 1).alias("pos"), F.format_string("u%d", Q("l_partkey") % 20).alias("url"), Q("l_partkey").cast("string").alias("title"), content.alias("content"))
+    sections = t("orders").select(Q("o_orderkey").cast("string").alias("report_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("section"), F.lit("T").alias("title"))
+    made = report_flows.section_reports(sections, docs, {"classify": classifier, "section_outline": outliner, "section_report": writer})
+    return made.select("report_id", "section", "error", "text", F.size("docs").alias("docs"))
+
+
+def scripted(stage: int, reply):
+    """A client that fails for the conclusions whose number leaves `stage` by 9, and else replies."""
+    return lambda prompts: ["?" if int(p["inference_id"]) % 9 == stage else json.dumps(reply(p)) for p in map(json.loads, prompts)]
+
+
+def structured(p: dict) -> dict:
+    """Records to a middle statement to the conclusion; for some a ghost without ground, for some an island, for some two conclusions or a loop."""
+    k = int(p["inference_id"])
+    edge = lambda heads, tail: {"heads": heads, "relation": "r", "tail": tail}
+    out = [edge(["0", "1"], f"the middle statement of {k}"), edge([f"the middle statement of {k}"], p["conclusion"])]
+    out += [edge(["a ghost without any ground"], p["conclusion"])] if k % 2 == 0 else []
+    out += [edge(["2"], "an island far away from all")] if k % 3 == 0 else []
+    out += [edge([p["conclusion"]], "zzzz")] if k % 5 == 0 else []
+    out += [edge([f"the middle statement of {k}"], f"the middle statement of {k}")] if k % 7 == 0 else []
+    return {"edges": out}
+
+
+def joined_islands(p: dict) -> dict:
+    """Joins the last statement of the island to the middle, for every second one asked about."""
+    k, names = int(p["inference_id"]), {n["label"]: str(n["id"]) for part in p["parts"] for n in part}
+    island = names["an island far away from all"]
+    return {"edges": [{"heads": [island], "relation": "b", "tail": names[f"the middle statement of {k}"]}] if k % 2 else []}
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k FROM customer), o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1),
+r AS (SELECT c.k, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'nothing to infer from' WHEN c.k % 9 = 1 THEN 'no evidence' WHEN c.k % 9 = 2 THEN 'no inference' WHEN c.k % 9 = 3 THEN 'void inference' WHEN c.k % 9 = 4 THEN 'no structure'
+  WHEN c.k % 5 = 0 THEN 'not one conclusion' END AS dropped FROM c LEFT JOIN o ON c.k = o.k)
+SELECT CAST(k AS VARCHAR) AS inference_id, dropped, CASE WHEN dropped IS NULL OR dropped = 'not one conclusion' THEN 'because ' || k END AS inference,
+  CAST(CASE WHEN dropped IS NOT NULL THEN 0 ELSE 4 + CASE WHEN k % 3 = 0 AND k % 2 = 1 THEN 2 ELSE 0 END END AS INTEGER) AS nodes,
+  CAST(CASE WHEN dropped IS NOT NULL THEN 0 ELSE 3 + CASE WHEN k % 3 = 0 AND k % 2 = 1 THEN 2 ELSE 0 END END AS INTEGER) AS edges FROM r""")
+def conclusion_inferences(t):
+    """An inference for each customer over the orders as records: every stage fails for some, some graphs need mending."""
+    ends = t("customer").select(Q("c_custkey").cast("string").alias("inference_id"), F.lit("s").alias("statement"), F.concat(F.lit("so it ends with number "), "c_custkey").alias("conclusion"))
+    idx = F.row_number().over(team_window().partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    records = t("orders").select(Q("o_custkey").cast("string").alias("inference_id"), idx.alias("idx"), F.concat(F.lit("t"), idx).alias("title"), F.concat(F.lit("http://u"), idx).alias("url"), Q("o_orderpriority").alias("content"))
+    clients = {
+        "validate_inference": scripted(1, lambda p: {"indices": [0, 99]}), "infer": scripted(2, lambda p: {"inferences": [f"because {p['inference_id']}"]}),
+        "filter_inference": lambda prompts: ["[]" if int(json.loads(p)["inference_id"]) % 9 == 3 else "[1]" for p in prompts],
+        "structure_inference": scripted(4, structured), "supplement": lambda prompts: [json.dumps(joined_islands(json.loads(p))) for p in prompts],
+    }
+    found = report_flows.inferences(ends, records, clients)
+    return found.select("inference_id", "dropped", "inference", F.size("nodes").alias("nodes"), F.size("edges").alias("edges"))
