@@ -69,6 +69,16 @@ class Ranker:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * (s - self.cut) + shift, -40, 40)))
 
 
+def best_cut(s: np.ndarray, y: np.ndarray) -> float:
+    """The score from which on rows are called good, right most often over all quantiles of the sample; of equal ones the lowest, halfway to the next score below."""
+    order = np.argsort(s, kind="stable")
+    s, good = s[order], y[order] == 1
+    right = np.r_[0, np.cumsum(~good)] + good.sum() - np.r_[0, np.cumsum(good)]  # right if the k lowest are called bad
+    right[1:-1][s[1:] == s[:-1]] = -1  # equal scores are called alike
+    k = int(np.argmax(right))
+    return float(s[0] if k == 0 else s[-1] + 1.0 if k == len(s) else (s[k - 1] + s[k]) / 2)
+
+
 def fit_ranker(x: np.ndarray, y: np.ndarray, at: float = 0.3, pairs: int = 40000, rounds: int = 400, seed: int = 7) -> Ranker:
     """Preference pairs are drawn with a fixed seed from the sample's good and bad rows. With one label only, all score alike."""
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
@@ -84,10 +94,7 @@ def fit_ranker(x: np.ndarray, y: np.ndarray, at: float = 0.3, pairs: int = 40000
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     s = z @ w
-    quantiles = np.quantile(s, np.linspace(0, 0.6, 121))
-    right = [((s >= c) == (y == 1)).mean() for c in quantiles]
-    cut = float(quantiles[int(np.argmax(right))])
-    return Ranker(mean, scale, w, cut, 1.0 / (float(s.std()) * 0.3 + 1e-6), at)
+    return Ranker(mean, scale, w, best_cut(s, y), 1.0 / (float(s.std()) * 0.3 + 1e-6), at)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, at: float = 0.3, max_rows: int = MAX_ROWS) -> Ranker:

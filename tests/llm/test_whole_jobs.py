@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.llm import simhash
+from tessera.llm import quality, simhash
 from tests.llm.test_operators import components
 
 
@@ -115,3 +115,16 @@ def test_tallies_lose_no_alike_pair(size):
             assert may
         if part == 1.0 and size in (300, 4000):
             assert not may
+
+
+@pytest.mark.parametrize("share", [0.02, 0.1, 0.155, 0.5, 0.9, 0.98])
+def test_quality_cut_over_all_quantiles(share):
+    rng = np.random.default_rng(int(1000 * share))
+    for spread in (0.0, 0.5, 3.0):
+        y = (rng.random(800) < share).astype(int)
+        s = np.round(y + spread * rng.standard_normal(800), 2)
+        c = quality.best_cut(s, y)
+        best = max(((s >= x) == (y == 1)).mean() for x in [*np.unique(s), s.max() + 1])
+        assert ((s >= c) == (y == 1)).mean() == best
+    x = np.c_[y.astype(float), np.zeros((800, quality.N_FEATURES - 1))]
+    assert ((quality.fit_ranker(x, y).score(x) >= 0.3) == (y == 1)).all()
