@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.loose_json import mend
 from tessera.operators.outline import repaired
 
 #: Labels and defaults of the scores attached to documents, and what marks a failed reply.
@@ -30,33 +28,6 @@ def without_fences(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(text), "^```(?:json|ts)\\n*", ""), "\\n*```$", "")
 
 
-def mend(text: str) -> str | None:
-    """text as canonical JSON; what is cut off is closed, commas before an end and single quotes are mended. Else null."""
-    closers = {"{": "}", "[": "]"}
-    for candidate in (text, re.sub(r"'((?:[^'\\]|\\.)*)'", r'"\1"', text) if '"' not in text else text):
-        stack, quoted, skip, out = [], False, False, []
-        for c in candidate:
-            out.append(c)
-            if skip:
-                skip = False
-            elif quoted and c == "\\":
-                skip = True
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted and c in closers:
-                stack.append(closers[c])
-            elif not quoted and stack and c == stack[-1]:
-                stack.pop()
-        whole = "".join(out) + ('"' if quoted else "")
-        whole = re.sub(r"[,:]\s*$", lambda m: ": null" if ":" in m[0] else "", whole) + "".join(reversed(stack))
-        for attempt in (candidate, re.sub(r",(\s*[}\]])", r"\1", whole)):
-            try:
-                return json.dumps(json.loads(attempt), ensure_ascii=False)
-            except ValueError:
-                continue
-    return None
-
-
 def _mended(text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else mend(t) for t in texts], dtype=object)
@@ -65,7 +36,7 @@ def _mended(text: Column) -> Column:
 
 
 def json_text(text: Column) -> Column:
-    """JSON without fences, re-serialised; text without brackets and what can't be mended come back stripped."""
+    """JSON without fences, re-serialised (functions.loose_json); text without brackets and what can't be mended come back stripped."""
     bare = F.trim(text)
     return F.when(~bare.rlike("[{\\[]"), bare).otherwise(F.coalesce(_mended(without_fences(text)), bare))
 
