@@ -6,7 +6,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from tessera.operators import report_flows, team
+from tessera.operators import replies, report_flows, team, templates
+from tessera.operators.records import ordered_list
 from tessera.plans.base import query
 
 Q = F.col
@@ -167,3 +168,45 @@ def conclusion_inferences(t):
     }
     found = report_flows.inferences(ends, records, clients)
     return found.select("inference_id", "dropped", "inference", F.size("nodes").alias("nodes"), F.size("edges").alias("edges"))
+
+
+PROMPT = """Order {{ o_orderkey }}{% if urgent %} (urgent){% endif %}:
+{% if items %}
+  {% for i in items %}
+{{ loop.index }}. part {{ i.part }}{% if i.quantity > 40 %}, many{% elif i.quantity < 5 %}, few{% endif %}
+
+  {% endfor %}
+{% else %}
+nothing
+{% endif %}
+{{ items | length }} in all"""
+
+
+@query("""
+WITH i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER)) AS n, l_partkey, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
+g AS (SELECT l_orderkey, count(*) AS k, string_agg(n || '. part ' || l_partkey || CASE WHEN q > 40 THEN ', many' WHEN q < 5 THEN ', few' ELSE '' END || chr(10), '' ORDER BY n) AS s FROM i GROUP BY 1)
+SELECT o_orderkey, 'Order ' || o_orderkey || CASE WHEN o_orderpriority LIKE '1%' THEN ' (urgent)' ELSE '' END || ':' || chr(10) || coalesce(s, 'nothing' || chr(10)) || coalesce(k, 0) || ' in all' AS prompt
+FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""")
+def order_prompts(t):
+    """A prompt for each order by a template with a loop inside a condition and conditions inside the loop."""
+    item = F.struct(Q("l_partkey").alias("part"), Q("l_quantity").cast("int").alias("quantity"))
+    items = t("lineitem").groupBy("l_orderkey").agg(ordered_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"), item).alias("items"))
+    rows = t("orders").join(items, Q("l_orderkey") == Q("o_orderkey"), "left").select("o_orderkey", Q("o_orderpriority").startswith("1").alias("urgent"), "items")
+    return rows.select("o_orderkey", templates.rendered(rows, PROMPT).alias("prompt"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN '{"key": ' || o_orderkey || ', "status": "' || o_orderstatus || '", "items": [1, null]}' WHEN 4 THEN '{"key": ' || o_orderkey || '}'
+  ELSE '{"key": ' || o_orderkey || ', "status": "' || o_orderstatus || '", "items": [1, 2], "note": "' || o_orderpriority || '"}' END AS reply FROM orders""")
+def mended_replies(t):
+    """Replies that are almost JSON, each of five kinds of damage, as JSON."""
+    key, status, note = Q("o_orderkey"), Q("o_orderstatus"), Q("o_orderpriority")
+    kinds = [
+        F.format_string('```json\n{"key": %d, "status": "%s", "items": [1, 2,], "note": "%s",}\n```', key, status, note), F.format_string("Here: {key: %d, 'status': '%s', items: [1 2], // two\n note = \"%s\"}", key, status, note),
+        F.format_string('{"key" %d "status": "%s" "items": [1, 2], "note": "%s', key, status, note),
+        F.format_string('{"key": %d, "status": "%s", "items": [1, None', key, status), F.format_string('{"key": %d, ', key),
+    ]
+    text = kinds[0]
+    for k in range(1, 5):
+        text = F.when(key % 5 == k, kinds[k]).otherwise(text)
+    return t("orders").select("o_orderkey", replies.json_text(text).alias("reply"))
