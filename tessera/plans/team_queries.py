@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import replies, report_flows, team, templates
 from tessera.operators.records import ordered_list
 from tessera.plans.base import query
+from tessera.streaming import lifecycles
 
 Q = F.col
 MODULUS = 1_000_003
@@ -210,3 +211,45 @@ def mended_replies(t):
     for k in range(1, 5):
         text = F.when(key % 5 == k, kinds[k]).otherwise(text)
     return t("orders").select("o_orderkey", replies.json_text(text).alias("reply"))
+
+
+KINDS = {"view": "start", "click": "wait", "signup": "resume", "purchase": "cancel", "error": "done"}
+
+
+def lifecycle_events(t):
+    """Events as those of 29 sessions of each user."""
+    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+    return t("events").select(Q("user_id").alias("space"), (Q("event_id") % 29).alias("session"), kinds[Q("event_type")].alias("kind"), "event_id", "ts")
+
+
+DEADLINE_MS = 150 * 3_600_000
+LIFE = "STRUCT(s BIGINT, st VARCHAR, t BIGINT, e BIGINT, since BIGINT)"
+
+
+@query(f"""
+WITH RECURSIVE e AS (
+  SELECT user_id AS space, event_id % 29 AS s, event_id, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'wait' WHEN 'signup' THEN 'resume' WHEN 'purchase' THEN 'cancel' WHEN 'error' THEN 'done' END AS kind,
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+w AS (
+  SELECT DISTINCT space, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS ms, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS act, CAST([] AS {LIFE}[]) AS live, CAST([] AS {LIFE}[]) AS expired, CAST(NULL AS BIGINT) AS evicted FROM e
+  UNION ALL
+  SELECT space, n, s, ms, event_id, act, CASE WHEN len(l2) > 10 THEN l2[2:] ELSE l2 END, expired, CASE WHEN len(l2) > 10 THEN l2[1].s END FROM (
+    SELECT *, CASE WHEN act = 'started' THEN list_append(l1, CAST({{'s': s, 'st': 'running', 't': ms, 'e': event_id, 'since': NULL}} AS {LIFE}))
+      WHEN act = 'waiting' THEN list_transform(l1, lambda x: CASE WHEN x.s = s THEN CAST({{'s': s, 'st': 'waiting', 't': x.t, 'e': x.e, 'since': ms}} AS {LIFE}) ELSE x END)
+      WHEN act = 'resumed' THEN list_transform(l1, lambda x: CASE WHEN x.s = s THEN CAST({{'s': s, 'st': 'running', 't': x.t, 'e': x.e, 'since': NULL}} AS {LIFE}) ELSE x END)
+      WHEN act IN ('cancelled', 'done') THEN list_filter(l1, lambda x: x.s <> s) ELSE l1 END AS l2 FROM (
+      SELECT *, CASE WHEN kind = 'start' AND st IS NULL THEN 'started' WHEN kind = 'wait' AND st = 'running' THEN 'waiting' WHEN kind = 'resume' AND st = 'waiting' THEN 'resumed' WHEN kind = 'cancel' AND st IS NOT NULL THEN 'cancelled'
+        WHEN kind = 'done' AND st = 'running' THEN 'done' ELSE 'ignored' END AS act FROM (
+        SELECT *, list_filter(l1, lambda x: x.s = s)[1].st AS st FROM (
+          SELECT e.space, e.n, e.s, e.ms, e.event_id, e.kind, list_filter(w.live, lambda x: x.st = 'waiting' AND x.since + {DEADLINE_MS} <= e.ms) AS expired,
+            list_filter(w.live, lambda x: NOT coalesce(x.st = 'waiting' AND x.since + {DEADLINE_MS} <= e.ms, false)) AS l1
+          FROM w JOIN e ON e.space = w.space AND e.n = w.n + 1) AS a) AS b) AS c) AS d),
+z AS (SELECT space, arg_max(live, n) AS live FROM w GROUP BY space), m AS (SELECT max(ms) AS until FROM e)
+SELECT space, s AS session, ms, event_id, act AS outcome FROM w WHERE n > 0
+UNION ALL SELECT space, evicted, ms, event_id, 'evicted' FROM w WHERE evicted IS NOT NULL
+UNION ALL SELECT space, x.s, x.since + {DEADLINE_MS}, NULL, 'expired' FROM (SELECT space, unnest(expired) AS x FROM w) AS u
+UNION ALL SELECT space, x.s, x.since + {DEADLINE_MS}, NULL, 'expired' FROM (SELECT space, unnest(live) AS x FROM z) AS u, m WHERE x.st = 'waiting' AND x.since + {DEADLINE_MS} <= until""")
+def session_lives(t):
+    """What becomes of each session event; sessions that wait for more than 150 hours expire, an eleventh evicts the oldest."""
+    events = lifecycle_events(t)
+    return lifecycles.lives(events, DEADLINE_MS, lifecycles.session_events(events).agg(F.max("ms").alias("ms")))
