@@ -14,6 +14,8 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/graph/{uuid.uuid4().hex}"
@@ -31,11 +33,13 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFr
     left, done, level = nodes.select("id").distinct(), None, 0
     edges = settled(edges.select("src", "dst").distinct())
     left = settled(left)
-    while level < max_rounds:
+    while True:
         waiting = edges.join(left.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         ready = settled(left.join(waiting, "id", "left_anti"))
         if ready.isEmpty():
             break
+        if level == max_rounds:
+            raise RuntimeError("levels did not settle")
         now = ready.withColumn("level", F.lit(level))
         done = now if done is None else done.unionByName(now)
         left = settled(left.join(ready, "id", "left_anti"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import bookmarks as B
+from tessera.operators import headers as H
 from tessera.plans.base import query
 
 Q = F.col
@@ -56,3 +57,54 @@ def recovered_headings(t):
 def alike_headings(t):
     """The same where whole titles differ from their lines by a letter."""
     return B.headings_recovered(page_lines(t), page_marks(t, True))
+
+
+def report_lines(t):
+    """The lines of documents as a report: some begin or end code or formulas, some are headings of levels 1 to 3 with an old number, some quotes."""
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "s"))
+    k = F.length("s") % 13
+    old = F.concat(F.repeat(F.lit("#"), (1 + Q("row") % 3).cast("int")), F.lit(" "), Q("row").cast("string"), F.lit(". "), F.regexp_replace("s", "^[0-9. ]+", ""))
+    line = F.when(k == 0, "```").when(k == 1, "$$").when(k.between(2, 5), old).when(k == 6, F.concat(F.lit("> # "), "s")).otherwise(F.concat(F.lit("-"), "s"))
+    return lines.select("doc_id", "row", line.alias("line"))
+
+
+REPORT = """
+l AS (SELECT doc_id, i - 1 AS row, string_split(text, chr(10))[i] AS s FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i) WHERE text IS NOT NULL),
+k AS (SELECT *, length(s) % 13 AS k, regexp_replace(s, '^[0-9. ]+', '') AS t FROM l),
+f AS (SELECT *, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER w % 2 = 1 OR sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER w % 2 = 1 AS inside, row % 3 + 1 AS level FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY row)),
+h AS (SELECT * FROM f WHERE NOT inside AND k BETWEEN 2 AND 5)"""
+
+
+@query(f"""
+WITH RECURSIVE {REPORT},
+n AS (SELECT doc_id, row, level, row_number() OVER (PARTITION BY doc_id ORDER BY row) AS n FROM h),
+w AS (
+  SELECT DISTINCT doc_id, CAST(-1 AS BIGINT) AS row, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS level, CAST(NULL AS BIGINT) AS c1, CAST(NULL AS BIGINT) AS c2, CAST(NULL AS BIGINT) AS c3 FROM n
+  UNION ALL
+  SELECT n.doc_id, n.row, n.n, n.level, CASE WHEN n.level = 1 THEN coalesce(c1, 0) + 1 ELSE coalesce(c1, 1) END,
+    CASE WHEN n.level = 1 THEN CASE WHEN c2 IS NOT NULL THEN 0 END WHEN n.level = 2 THEN coalesce(c2, 0) + 1 ELSE coalesce(c2, 1) END,
+    CASE WHEN n.level < 3 THEN CASE WHEN c3 IS NOT NULL THEN 0 END ELSE coalesce(c3, 0) + 1 END
+  FROM w JOIN n ON n.doc_id = w.doc_id AND n.n = w.n + 1)
+SELECT f.doc_id, CAST(f.row AS INTEGER) AS row, CASE WHEN w.row IS NOT NULL THEN repeat('#', w.level::INT) || ' ' || CASE w.level WHEN 1 THEN c1 || '.' WHEN 2 THEN c1 || '.' || c2 ELSE c1 || '.' || c2 || '.' || c3 END || ' ' || t
+  WHEN k = 0 THEN '```' WHEN k = 1 THEN '$$' WHEN k BETWEEN 2 AND 5 THEN repeat('#', f.level::INT) || ' ' || f.row || '. ' || t WHEN k = 6 THEN '> # ' || s ELSE '-' || s END AS line
+FROM f LEFT JOIN w ON f.doc_id = w.doc_id AND f.row = w.row""")
+def numbered_reports(t):
+    """Headings numbered anew on whole texts; blocks of eight lines, so that many texts lie in several."""
+    return H.numbered_lines(report_lines(t), block=8)
+
+
+@query("""
+WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS s FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i) WHERE text IS NOT NULL),
+m AS (SELECT doc_id, i, length(s) % 5 = 0 AND trim(s, ' ' || chr(9) || chr(13)) <> '' AS head, CASE WHEN length(s) % 5 = 0 THEN '# x' || s ELSE s END AS s FROM l),
+p AS (SELECT doc_id, i, head OR s LIKE '# x%' AS head, s, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS fin FROM m),
+g AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g, max(fin) OVER (PARTITION BY doc_id) AS total FROM p)
+SELECT doc_id, CAST(g - 1 AS INTEGER) AS section, CAST(min(fin) AS BIGINT) AS start, CAST(max(fin) + CASE WHEN max(fin) < any_value(total) THEN 1 ELSE 0 END AS BIGINT) AS "end",
+  md5(coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (NOT head), '')) AS lines, true AS same FROM g WHERE g > 0 GROUP BY doc_id, g""")
+def report_sections(t):
+    """Sections of documents some lines of which are headings: offsets, and that they give the content back from the whole text."""
+    made = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) % 5 == 0, F.concat(F.lit("# x"), x)).otherwise(x)), "\n")
+    docs = t("documents").where("text is not null").select("doc_id", made.alias("text"))
+    cut = H.sections_of(docs).join(docs, "doc_id").withColumn("same", F.substr("text", (Q("start") + 1).cast("int"), (Q("end") - Q("start")).cast("int")) == Q("content"))
+    lines = F.regexp_replace(F.regexp_replace("content", "^\n", ""), "\n$", "")
+    last = F.when(Q("end") < F.length("text"), lines).otherwise(F.regexp_replace("content", "^\n", ""))
+    return cut.select("doc_id", "section", "start", "end", F.md5(last.cast("binary")).alias("lines"), "same")
