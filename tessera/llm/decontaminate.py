@@ -35,8 +35,12 @@ def build_index(items: list[tuple[str, str | None]], counts: dict[bytes, int], w
     spans: dict[tuple, list[int]] = {}
     tokens = [(str(i), words_of(t)) for i, t in items]
     for k, (_, words) in enumerate(tokens):
-        size = min(window, len(words))
+        size, seen = min(window, len(words)), set()
         for p in range(len(words) - size + 1 if words else 0):
+            same = tuple(words[p : p + size])
+            if same in seen:  # a window that the item repeats is found by its first place
+                continue
+            seen.add(same)
             at = min(range(p, p + size), key=lambda q: (counts.get(words[q], 0), words[q], q))
             spans.setdefault((k, at, size), []).append(p)
     index: dict[bytes, list] = {}

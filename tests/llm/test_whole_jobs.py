@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.llm import quality, simhash
+from tessera.llm import decontaminate, quality, simhash
 from tests.llm.test_operators import components
 
 
@@ -128,3 +128,27 @@ def test_quality_cut_over_all_quantiles(share):
         assert ((s >= c) == (y == 1)).mean() == best
     x = np.c_[y.astype(float), np.zeros((800, quality.N_FEATURES - 1))]
     assert ((quality.fit_ranker(x, y).score(x) >= 0.3) == (y == 1)).all()
+
+
+@pytest.mark.parametrize("period", [1, 2, 7, 10, 13, 400])
+def test_windows_of_repeated_words_are_linear(period):
+    import time
+
+    item, text = (b" ".join(b"w%d" % (i % period) for i in range(n)).decode() for n in (2_000, 100_000))
+    began = time.time()
+    index = decontaminate.build_index([("a", item), ("b", "w0 w1 other")], {}, 10)
+    ranges, found = decontaminate.hits(decontaminate.words_of("x y " + text + " z"), index)
+    assert time.time() - began < 5
+    assert decontaminate.merged(ranges) == [(2, 100_002)] and found == {"a"}
+
+
+def test_windows_of_periodic_texts_against_all_windows():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        item, text = (" ".join(f"w{x}" for x in rng.integers(0, int(rng.integers(1, 4)), int(rng.integers(1, n)))) for n in (30, 60))
+        a, b = decontaminate.words_of(item), decontaminate.words_of(text)
+        size = min(4, len(a))
+        windows = {tuple(a[p : p + size]) for p in range(len(a) - size + 1)}
+        want = {q for p in range(len(b) - size + 1) if tuple(b[p : p + size]) in windows for q in range(p, p + size)}
+        ranges, found = decontaminate.hits(b, decontaminate.build_index([("a", item)], {}, 4))
+        assert {q for x, y in ranges for q in range(x, y)} == want and (found == {"a"}) == bool(want)
