@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.llm import decontaminate, quality, simhash
+from tessera.llm import decontaminate, quality, secrets, simhash
 from tests.llm.test_operators import components
 
 
@@ -152,3 +152,38 @@ def test_windows_of_periodic_texts_against_all_windows():
         want = {q for p in range(len(b) - size + 1) if tuple(b[p : p + size]) in windows for q in range(p, p + size)}
         ranges, found = decontaminate.hits(b, decontaminate.build_index([("a", item)], {}, 4))
         assert {q for x, y in ranges for q in range(x, y)} == want and (found == {"a"}) == bool(want)
+
+
+FORMS = {
+    'private_key = "Zk3-Qp9_Lm2+Rt7" + "Yx8/Wv4=Bn6"': ["Zk3-Qp9_Lm2+Rt7", "Yx8/Wv4=Bn6"],
+    'pwd2 = str("Zk3-Qp9_Lm2+Rt7")': "Zk3-Qp9_Lm2+Rt7",
+    'auth = Secret(\'Zk3-Qp9_Lm2+Rt7\')': "Zk3-Qp9_Lm2+Rt7",
+    'pwd = a\nb = 1\na = "Zk3-Qp9_Lm2+Rt7"': "Zk3-Qp9_Lm2+Rt7",
+    '{"pwd": {"value": "Zk3-Qp9_Lm2+Rt7", "about": "a note on Zk3"}}': "Zk3-Qp9_Lm2+Rt7",
+    '{"credential": {"data": {"value": "Zk3-Qp9_Lm2+Rt7"}}}': None,
+    "<pwd>Zk3-Qp9_Lm2+Rt7</pwd>": "Zk3-Qp9_Lm2+Rt7",
+    'passphrase = "correct horse battery staple"': "correct horse battery staple",
+    'pwd_hint = "Please enter your password here."': None,
+    'pwd = get("name")': None,
+    'title = "Zk3-Qp9_Lm2+Rt7" + "x"': None,
+    "<title>Zk3-Qp9_Lm2+Rt7</title>": None,
+    "<pwd>Zk3-Qp9_Lm2+Rt7</title>": None,
+    'a = b\nb = a\npwd = a': None,
+    '{"pwd": {"length": "Zk3-Qp9_Lm2+Rt7"}}': None,
+}
+
+
+@pytest.mark.parametrize("text,value", FORMS.items())
+def test_values_of_parsed_forms(text, value):
+    found = [(k, text[s:e]) for k, s, e, _ in secrets.find_secrets(text) if k not in ("assign", "access", "hex")]
+    assert [v for _, v in found] == ([] if value is None else value if isinstance(value, list) else [value])
+
+
+@pytest.mark.parametrize("unit", ['password = "a" + ', "pwd: {", '"', "'", "<pwd>", "token(", 'key = "', "pwd = a\na = pwd\n", '"pwd" "a" ', "\\"])
+def test_parsed_forms_are_linear(unit):
+    import time
+
+    text = "pwd = x " + unit * (1_000_000 // len(unit))
+    began = time.time()
+    secrets.redact(text, secrets.find_secrets(text))
+    assert time.time() - began < 15
