@@ -44,6 +44,7 @@ CALLS = {
     "structure_inference": ("edges array<struct<heads:array<string>,relation:string,tail:string>>", 3, None),
     "supplement": ("edges array<struct<heads:array<string>,relation:string,tail:string>>", 3, None),
     "template": (None, 3, None),
+    "batch": ("results array<string>", 3, None),
 }
 
 

@@ -36,7 +36,8 @@ def node_runs(lines: DataFrame) -> DataFrame:
         F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss,SSS").alias("ts"), part(2).alias("thread_id"), part(3).alias("node"), part(4).try_cast("int").alias("section_idx"), part(5).alias("method"), part(6).cast("double").alias("duration")
     )
     out = out.where("duration > 0")
-    collector = F.col("node") if out.where(F.col("node") == TEAM[0]).isEmpty() else F.lit(TEAM[0])
+    team = out.agg(F.coalesce(F.bool_or(F.col("node") == TEAM[0]), F.lit(False))).scalar()  # a subquery of one row, not a job
+    collector = F.when(team, TEAM[0]).otherwise(F.col("node"))
     return out.withColumn("parent", F.when(F.col("node").isin(*TEAM), "EditorTeamNode").when(F.col("node").isin(*COLLECTOR), collector).otherwise("None"))
 
 
@@ -54,6 +55,12 @@ def summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("thread_id", "node").agg(mean("duration", 2).alias("mean"), F.count("*").alias("calls"))
 
 
+def with_summary(runs: DataFrame) -> DataFrame:
+    """runs with the mean duration and the number of runs of their thread and node; runs without either get those of the null."""
+    means = summary(runs).withColumnsRenamed({"thread_id": "_t", "node": "_n"})
+    return runs.join(means, F.col("thread_id").eqNullSafe(F.col("_t")) & F.col("node").eqNullSafe(F.col("_n")), "left").drop("_t", "_n")
+
+
 def calls(lines: DataFrame, pattern: str, schema: str) -> DataFrame:
     """thread_id and the fields of schema, duration to 3 places, of each line that pattern fits; what is no dict is left out."""
     found = lines.where(F.col("value").rlike(pattern))
