@@ -59,16 +59,16 @@ def insert_charts(t):
 
 
 @query(f"""
-WITH h AS (SELECT doc_id, row, repeat('#', CAST(1 + (row + doc_id) % 4 AS INTEGER)) || ' ' || row AS s FROM ({LINES})),
+WITH h AS (SELECT doc_id, row, repeat('#', CAST(1 + (row + doc_id) % 4 AS INTEGER)) || ' ' || s || '.' AS s FROM ({LINES})),
 c AS (SELECT *, count(*) FILTER (s LIKE '# %') OVER (PARTITION BY doc_id) AS n FROM h)
 SELECT doc_id, coalesce(string_agg(CASE WHEN n <= 1 THEN substr(s, 2) ELSE s END, chr(10) ORDER BY row) FILTER (CASE WHEN n <= 1 THEN s LIKE '## %' OR s LIKE '### %' ELSE s NOT LIKE '###%' END), '') AS headings FROM c GROUP BY doc_id""")
 def template_promotion(t):
-    made = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.repeat(F.lit("#"), (1 + (i + 1 + Q("doc_id")) % 4).cast("int")), F.lit(" "), (i + 1).cast("string")))
+    made = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.repeat(F.lit("#"), (1 + (i + 1 + Q("doc_id")) % 4).cast("int")), F.lit(" "), x, F.lit(".")))
     return t("documents").where("text is not null").select("doc_id", S.promoted(F.array_join(made, "\n")).alias("headings"))
 
 
 @query(f"""
-WITH h AS (SELECT doc_id, row, CASE WHEN row = 1 THEN '# top' WHEN row % 3 = 0 THEN repeat('#', CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END + row % 4 AS INTEGER)) || ' ' || row ELSE 'x' || row END AS s FROM ({LINES})),
+WITH h AS (SELECT doc_id, row, CASE WHEN row = 1 THEN '# top' WHEN row % 3 = 0 THEN repeat('#', CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END + row % 4 AS INTEGER)) || ' ' || s || '.' ELSE 'x' || s || '.' END AS s FROM ({LINES})),
 v AS (SELECT *, CASE WHEN s LIKE '#%' THEN length(regexp_extract(s, '^#+')) END AS level, count(*) FILTER (s LIKE '# %') OVER (PARTITION BY doc_id) = 1 AS one FROM h),
 u AS (SELECT *, coalesce(last_value(level IGNORE NULLS) OVER w, 0) AS under, count(*) FILTER (level = 2) OVER w > 0 AS begun FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY row))
 SELECT doc_id, coalesce(string_agg(CASE WHEN one AND level IN (2, 3) THEN substr(s, 2) ELSE s END, chr(10) ORDER BY row) FILTER (CASE WHEN one THEN begun AND under < 4 ELSE under < 3 END), '') AS text FROM u GROUP BY doc_id""")
@@ -76,7 +76,7 @@ def shallow_headings(t):
     level = (F.when(Q("doc_id") % 2 == 0, 2).otherwise(1)).cast("int")
     made = F.transform(
         F.split("text", "\n"),
-        lambda x, i: F.when(i == 0, F.lit("# top")).when((i + 1) % 3 == 0, F.concat(F.repeat(F.lit("#"), (level + (i + 1) % 4).cast("int")), F.lit(" "), (i + 1).cast("string"))).otherwise(F.concat(F.lit("x"), (i + 1).cast("string"))),
+        lambda x, i: F.when(i == 0, F.lit("# top")).when((i + 1) % 3 == 0, F.concat(F.repeat(F.lit("#"), (level + (i + 1) % 4).cast("int")), F.lit(" "), x, F.lit("."))).otherwise(F.concat(F.lit("x"), x, F.lit("."))),
     )
     return S.shallow(t("documents").where("text is not null").select("doc_id", F.array_join(made, "\n").alias("text")))
 
