@@ -6,7 +6,7 @@ so that no reply and no failure of one row touches another. Clients are given by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
@@ -14,8 +14,11 @@ from tessera.operators import nodes as N
 from tessera.operators.checks import section_outline_valid
 from tessera.operators.flows import chart_of
 from tessera.operators.graph import settled
+from tessera.operators.headers import numbered_lines
 from tessera.operators.model import echo, model_map
 from tessera.operators.records import ordered_list
+from tessera.operators.replies import failed_reply
+from tessera.operators.sections import promoted
 
 #: Documents a classification is shown, and attempts at an outline and a text.
 SHOWN, ATTEMPTS = 60, 3
@@ -150,3 +153,63 @@ def checked_graphs(numbered: DataFrame, client) -> DataFrame:
     own = edges.join(reach.withColumnRenamed("id", "src"), "src", "left_semi").join(reach.withColumnRenamed("id", "dst"), "dst", "left_semi")
     own = own.groupBy("inference_id").agg(F.array_sort(F.collect_list(F.struct(number(F.col("src")).alias("src"), "relation", number(F.col("dst")).alias("dst")))).alias("edges"))
     return left.join(own, "inference_id", "left")
+
+
+def renumbered_sections(sections: DataFrame) -> DataFrame:
+    """sections (report_id, section, text) with the headings of each report numbered through all its sections."""
+    wide = F.col("section").cast("long") * F.lit(1 << 32)
+    lines = sections.select("report_id", "section", F.posexplode(F.split("text", "\n")).alias("_l", "line")).select(F.col("report_id").alias("doc_id"), (wide + F.col("_l")).alias("row"), "line")
+    back = numbered_lines(lines).select(F.col("doc_id").alias("report_id"), F.floor(F.col("row") / F.lit(1 << 32)).alias("section"), "row", "line")
+    texts = back.groupBy("report_id", "section").agg(F.array_join(ordered_list("row", "line"), "\n").alias("text"))
+    return sections.drop("text").join(texts, ["report_id", "section"])
+
+
+def with_transition(text: Column, title: Column, sentence: Column) -> Column:
+    """A section's text with a sentence on a line of its own: after the first place of its title, else after a first line that is a heading, else before it."""
+    first = F.substring_index(text, "\n", 1)
+    end = F.when((F.length(title) > 0) & F.contains(text, title), F.instr(text, title) + F.length(title) - 1).when(first.startswith("#"), F.length(first))
+    placed = F.when(end.isNotNull(), F.concat(F.left(text, end), F.lit("\n"), sentence, F.substr(text, end + 1))).otherwise(F.concat(sentence, F.lit("\n"), text))
+    return F.when(F.length(F.trim(sentence)) > 0, placed).otherwise(text)
+
+
+def whole_reports(sections: DataFrame, titles: DataFrame, clients: dict | None = None) -> DataFrame:
+    """report_id, report and missing (parts that no model gave) of reports whose sections are written.
+
+    sections: report_id, section, title, text (null or blank where it failed); titles: report_id, title. Each section is summed up; headings are numbered through the
+    report; a sentence that leads over from the section before (of the same report, written or not) is put in where either has a summary; an abstract and
+    recommendations are written from the sections. A part without a reply is left out and named in missing; a report without sections is its title.
+    """
+    ask = dict.fromkeys(("section_summary", "transition", "abstract", "recommendations"), echo) | (clients or {})
+    written = F.length(F.trim("text")) > 0
+    prompt = F.when(written, F.to_json(F.struct("report_id", "section", "text")))
+    told = model_map(sections.select("report_id", "section", "title", "text").withColumn("_p", prompt), "_p", "section_summary", ask["section_summary"])
+    summed = settled(told.select("report_id", "section", "title", "text", F.when(written & F.col("valid"), F.col("reply")).otherwise("").alias("summary")))
+    w = Window.partitionBy("report_id").orderBy("section")
+    led = summed.select("report_id", "section", F.coalesce(F.lag("title").over(w), F.lit("")).alias("title_prev"), F.coalesce(F.lag("summary").over(w), F.lit("")).alias("summary_prev"), F.col("title").alias("title_next"), F.col("summary").alias("summary_next"))
+    numbered = renumbered_sections(summed.where(written).select("report_id", "section", "text"))
+    fields = F.struct("report_id", "section", "title_prev", "summary_prev", "title_next", "summary_next")
+    asked = numbered.join(led, ["report_id", "section"]).withColumn("_p", F.when((F.col("summary_prev") != "") | (F.col("summary_next") != ""), F.to_json(fields)))
+    over = model_map(asked, "_p", "transition", ask["transition"])
+    sentence = F.when(F.col("_p").isNotNull() & F.col("valid"), F.col("reply")).otherwise("")
+    done = settled(over.select("report_id", "section", with_transition(F.col("text"), F.coalesce("title_next", F.lit("")), sentence).alias("text"), (F.trim(sentence) == "").alias("_bare")))
+    whole = titles.join(done.groupBy("report_id").agg(ordered_list("section", "text").alias("sections"), F.sum(F.col("_bare").cast("int")).alias("bare")), "report_id", "left")
+    for kind in ("abstract", "recommendations"):
+        whole = model_map(whole.withColumn("_p", F.when(F.size("sections") > 0, F.to_json(F.struct("report_id", "title", "sections")))), "_p", kind, ask[kind])
+        whole = whole.withColumn(f"_{kind}", F.when(F.col("_p").isNotNull() & F.col("valid"), F.col("reply")).otherwise("")).drop("_p", "reply", "parsed", "valid")
+    parts = F.filter(F.array(F.concat(F.lit("# "), "title"), F.col("_abstract"), F.array_join(F.coalesce("sections", F.array().cast("array<string>")), "\n\n"), F.col("_recommendations")), lambda x: F.length(F.trim(x)) > 0)
+    lost = F.array_compact(F.array(F.when(F.trim("_abstract") == "", "abstract"), F.when(F.col("bare") > 0, F.format_string("%d transitions", "bare")), F.when(F.trim("_recommendations") == "", "recommendations")))
+    return whole.select("report_id", F.array_join(parts, "\n\n").alias("report"), lost.alias("missing"))
+
+
+def template_of(reports: DataFrame, clients: dict | None = None, attempts: int = ATTEMPTS) -> DataFrame:
+    """doc_id, template and error of reports (doc_id, text): a model gives the outline, its levels are brought up, and a second call describes its parts.
+
+    A reply that is blank or tells of an error isn't taken; after `attempts` such ones the row has the error of its stage and no template.
+    """
+    ask = dict.fromkeys(("structure", "semantics"), echo) | (clients or {})
+    sound = (F.length(F.trim("reply")) > 0) & ~failed_reply(F.col("reply"))
+    rows = reports.select("doc_id", "text").withColumn("error", F.when(F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0, "no text"))
+    rows = attempted(rows, F.struct("doc_id", "text"), "template", ask["structure"], sound, "outline", attempts)
+    rows = settled(rows.withColumn("outline", promoted(F.col("outline"))).withColumn("error", F.coalesce("error", F.when(F.col("outline").isNull(), "no outline"))))
+    rows = attempted(rows, F.struct("doc_id", "text", "outline"), "template", ask["semantics"], sound, "template", attempts)
+    return rows.select("doc_id", F.trim("template").alias("template"), F.coalesce("error", F.when(F.col("template").isNull(), "no description")).alias("error"))

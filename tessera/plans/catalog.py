@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import base, batch_queries, check_queries, flow_queries, graph_queries, layout_queries, record_queries, report_queries, section_queries, shown_queries, team_queries, text_queries, trace_queries  # noqa: F401  registration
+from tessera.plans import base, batch_queries, check_queries, flow_queries, graph_queries, layout_queries, record_queries, report_flow_queries, report_queries, section_queries, shown_queries, team_queries, text_queries, trace_queries  # noqa: F401  registration
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
