@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tessera.operators.model import echo, model_map
 from tessera.operators.records import ordered_list
 
+#: A call over several items: its reply lists their results.
+RESULTS = ("results array<string>", 3, None)
+
 
 def answered(rows: DataFrame, by: list[str], size: int, client=echo) -> DataFrame:
     """rows (by, pos from 0, item) with result and error: each batch of `size` neighbours is one call that gives a list, in their order.
@@ -19,7 +22,7 @@ def answered(rows: DataFrame, by: list[str], size: int, client=echo) -> DataFram
     own = rows.withColumn("_batch", F.floor(F.col("pos") / size))
     asked = own.groupBy(*keys).agg(ordered_list("pos", F.struct("pos", "item")).alias("_rows"))
     prompt = F.to_json(F.struct(F.transform("_rows", lambda r: r["item"]).alias("items")))
-    told = model_map(asked.withColumn("_p", prompt), "_p", "batch", client)
+    told = model_map(asked.withColumn("_p", prompt), "_p", RESULTS, client)
     n, m = F.size("_rows"), F.size("parsed.results")
     wrong = F.when(~F.col("valid") | F.col("parsed.results").isNull(), "reply can't be parsed").when(n != m, F.format_string("%d results for %d rows", m, n))
     flat = told.withColumn("_error", wrong).select(*by, "_error", F.col("parsed.results").alias("_results"), F.posexplode("_rows").alias("_i", "_row"))

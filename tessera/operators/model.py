@@ -44,7 +44,6 @@ CALLS = {
     "structure_inference": ("edges array<struct<heads:array<string>,relation:string,tail:string>>", 3, None),
     "supplement": ("edges array<struct<heads:array<string>,relation:string,tail:string>>", 3, None),
     "template": (None, 3, None),
-    "batch": ("results array<string>", 3, None),
 }
 
 
@@ -53,9 +52,12 @@ def echo(prompts: list[str]) -> list[str]:
     return list(prompts)
 
 
-def model_map(df: DataFrame, prompt: str, call: str, client=echo, batch: int = 64) -> DataFrame:
-    """df with reply (the text), parsed (by the call's schema; null for plain text) and valid. Null prompts get the fallback."""
-    schema, retries, fallback = CALLS[call]
+def model_map(df: DataFrame, prompt: str, call: str | tuple, client=echo, batch: int = 64) -> DataFrame:
+    """df with reply (the text), parsed (by the call's schema; null for plain text) and valid. Null prompts get the fallback.
+
+    call is a name in CALLS, or a schema, number of retries and fallback of its own.
+    """
+    schema, retries, fallback = CALLS[call] if isinstance(call, str) else call
     at = df.columns.index(prompt)
     wide = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType())])
 
