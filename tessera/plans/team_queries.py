@@ -38,9 +38,9 @@ def total(results):
 
 
 def order_outlines(t):
-    """An outline for each order: its lines are sections; of three lines each depends on those before it."""
-    n = F.row_number().over(team_window())
-    lines = t("lineitem").select(Q("l_orderkey").alias("outline_id"), n.alias("n"), (Q("l_partkey") % 1000).cast("string").alias("title"))
+    """An outline for each customer: their orders are sections; of three orders each depends on those before it."""
+    n = F.row_number().over(team_window().partitionBy("o_custkey").orderBy("o_orderkey"))
+    lines = t("orders").select(Q("o_custkey").alias("outline_id"), n.alias("n"), (Q("o_orderkey") % 1000).cast("string").alias("title"))
     first = Q("n") - (Q("n") - 1) % 3
     parents = F.when(Q("n") > first, F.transform(F.sequence(first, Q("n") - 1), lambda x: x.cast("string"))).otherwise(F.array().cast("array<string>"))
     return lines.select("outline_id", Q("n").cast("string").alias("id"), "title", parents.alias("parent_ids"))
@@ -53,7 +53,7 @@ def team_window():
 
 
 @query(f"""
-WITH RECURSIVE s AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_partkey % 1000 AS x FROM lineitem),
+WITH RECURSIVE s AS (SELECT o_custkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey % 1000 AS x FROM orders),
 w AS (
   SELECT o, n, x, CAST(0 AS BIGINT) AS bg, CASE WHEN x % 11 = 0 THEN 0 ELSE (x * 2 + 2 + CASE WHEN x % 2 = 1 THEN (x + 1) * 2 + 2 ELSE 0 END) % {MODULUS} END AS v FROM s WHERE (n - 1) % 3 = 0
   UNION ALL
@@ -62,7 +62,7 @@ w AS (
 SELECT o AS outline_id, CAST(n AS VARCHAR) AS id, CAST(v AS VARCHAR) AS result, CASE WHEN x % 11 = 0 THEN 'failed' WHEN x % 2 = 0 THEN 'completed' ELSE 'limit' END AS status,
   CASE WHEN x % 11 = 0 THEN 0 WHEN x % 2 = 0 THEN 1 ELSE 2 END AS plans, CAST((n - 1) % 3 AS INTEGER) AS round FROM w""")
 def outline_research(t):
-    """Sections researched as their parents allow, each with up to two plans of dependent steps; every order is an outline."""
+    """Sections researched as their parents allow, each with up to two plans of dependent steps; every customer is an outline."""
     done = team.outline_research(order_outlines(t), planner, lambda steps: team.collected(steps, collector), value=total)
     return done.select("outline_id", "id", "result", "status", "plans", "round")
 
