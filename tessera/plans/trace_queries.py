@@ -153,7 +153,7 @@ WITH d AS (SELECT o_custkey % 97 AS thread, o_orderkey % 4 AS section, CAST(o_to
 SELECT o_orderkey, thread, CAST(row_number() OVER (PARTITION BY thread ORDER BY CASE WHEN section = 0 THEN -1 ELSE 1 END, price DESC, o_orderkey) AS BIGINT) AS place FROM d WHERE thread IN (3, 5, 8)""")
 def report_table_order(t):
     """The order of a report table: section 0 first in a thread, then by value, of chosen threads."""
-    d = t("orders").select((Q("o_custkey") % 97).alias("thread"), (Q("o_orderkey") % 4).alias("section"), Q("o_totalprice").cast("decimal(18,2)").cast("decimal(18,0)").cast("long").alias("price"), "o_orderkey").where(Q("thread").isin(3, 5, 8))
+    d = t("orders").select((Q("o_custkey") % 97).alias("thread"), (Q("o_orderkey") % 4).alias("section"), F.rint("o_totalprice").cast("long").alias("price"), "o_orderkey").where(Q("thread").isin(3, 5, 8))
     w = T.Window.partitionBy("thread").orderBy(F.when(Q("section") == 0, -1).otherwise(1), F.desc("price"), "o_orderkey")
     return d.select("o_orderkey", "thread", F.row_number().over(w).cast("long").alias("place"))
 
