@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,17 +13,23 @@ TRAILING = "[\\s，。！？；：、,.;:!?]+$"
 CITATION = "\\[\\s*citation:\\s*(\\d+)\\s*\\]"
 LEADING_NUMBER = "^(?:\\d+(?:[.\\-\\s]\\d+)*|第?[一二三四五六七八九十\\d]+[、章])\\s*"
 HEADER_NUMBER = "^[(（]?[一二三四五六七八九十0-9]+[.、)）]?\\s*"
-SPACES = "(?U)^\\s+|\\s+$"
+#: What is white space to Unicode.
+SPACES = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, SPACES, "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it: expressions with lambdas are worked out again at each place."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def sentences(text: Column) -> Column:
     """Stripped sentences, ends kept; a blank tail is dropped."""
     parts = F.transform(F.split(F.regexp_replace(text, f"([{SENTENCE_ENDS}])", "$1\u001e"), "\u001e"), strip)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    return once(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p))
 
 
 def without_trailing_marks(text: Column) -> Column:
