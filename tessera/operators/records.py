@@ -88,6 +88,15 @@ def islands(df: DataFrame, within: list[str], order: list, value: str) -> DataFr
     return numbered.groupBy(*within, "island", value).agg(F.count("*").alias("n_rows"))
 
 
+#: Rows that a task takes of a table that is dealt by its size.
+ROWS = 1 << 17
+
+
+def parts_of(df: DataFrame) -> int:
+    """Partitions for a table of files: as many as its rows take at ROWS each, so that what a task holds doesn't grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+
+
 def ordered_list(pos: Column | str, value: Column | str) -> Column:
     """Aggregate: values of a group in the order of pos."""
     pos, value = (F.col(c) if isinstance(c, str) else c for c in (pos, value))

@@ -258,5 +258,7 @@ def flatten_nested(t):
 SELECT o_orderkey, min(l_extendedprice) AS low, max(l_extendedprice) AS high, max(l_extendedprice) - min(l_extendedprice) AS width, count(DISTINCT l_extendedprice) >= 3 AS varied
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def value_range(t):
-    g = t("lineitem").join(t("orders"), Q("l_orderkey") == Q("o_orderkey"), "left_semi").groupBy(Q("l_orderkey").alias("o_orderkey"))
+    n = R.parts_of(t("lineitem"))
+    lines, orders = t("lineitem").select("l_orderkey", "l_extendedprice").repartition(n, "l_orderkey"), t("orders").select("o_orderkey").repartition(n, "o_orderkey")
+    g = lines.join(orders, Q("l_orderkey") == Q("o_orderkey"), "left_semi").groupBy(Q("l_orderkey").alias("o_orderkey"))
     return g.agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), (F.max("l_extendedprice") - F.min("l_extendedprice")).alias("width"), (F.countDistinct("l_extendedprice") >= 3).alias("varied"))
