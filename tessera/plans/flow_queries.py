@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessera.operators import flows, outline, references, tools
-from tessera.operators.records import ordered_list
+from tessera.operators.records import ordered_list, parts_of
 from tessera.plans.base import query
 
 Q = F.col
@@ -27,7 +27,8 @@ def reference_lines(t):
     """Lists of three lines, a blank line apart, brought to one numbering."""
     r = (Q("n") - 1) % 3 + 1
     line = F.concat(F.when((r == 1) & (Q("n") > 1), "\n").otherwise(""), F.format_string("[%d] s%d", r, "l_suppkey"))
-    raw = t("lineitem").withColumn("n", item_number()).groupBy(Q("l_orderkey").alias("doc_id")).agg(F.array_join(ordered_list("n", line), "\n").alias("text"))
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition(parts_of(t("lineitem")), "l_orderkey")
+    raw = lines.withColumn("n", item_number()).groupBy(Q("l_orderkey").alias("doc_id")).agg(F.array_join(ordered_list("n", line), "\n").alias("text"))
     return references.renumbered_lists(raw).select("doc_id", "key", Q("ref").cast("long").alias("ref"), "content")
 
 
