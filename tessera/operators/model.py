@@ -9,7 +9,6 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Call -> (reply schema as DDL or None for plain text, retries, fallback reply).
 CALLS = {
@@ -58,8 +57,6 @@ def model_map(df: DataFrame, prompt: str, call: str | tuple, client=echo, batch:
     call is a name in CALLS, or a schema, number of retries and fallback of its own.
     """
     schema, retries, fallback = CALLS[call] if isinstance(call, str) else call
-    at = df.columns.index(prompt)
-    wide = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType())])
 
     def ask(prompts: list[str]) -> list[str | None]:
         for _ in range(retries):
@@ -69,17 +66,18 @@ def model_map(df: DataFrame, prompt: str, call: str | tuple, client=echo, batch:
                 continue
         return [fallback] * len(prompts)
 
-    def run(batches):
-        for whole in batches:
-            for i in range(0, whole.num_rows, batch):
-                b = whole.slice(i, batch)
-                prompts = b.column(at).to_pylist()
-                known = [p for p in prompts if p is not None]
-                replies = iter(ask(known) if known else [])
-                out = [fallback if p is None else next(replies) for p in prompts]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=wide.names)
+    # only prompts and replies pass through Python; a reply isn't asked for again where it is named twice
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for i in range(0, len(column), batch):
+            prompts = column.slice(i, batch).to_pylist()
+            known = [p for p in prompts if p is not None]
+            replies = iter(ask(known) if known else [])
+            out.append(pa.array([fallback if p is None else next(replies) for p in prompts], pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
-    out = df.mapInArrow(run, wide)
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}  # arrow_udf reads them, and not as strings
+    out = df.withColumn("reply", F.arrow_udf(run, "string").asNondeterministic()(F.col(prompt)))
     if schema is None:
         return out.withColumn("parsed", F.lit(None).cast("string")).withColumn("valid", F.coalesce(F.length("reply") > 0, F.lit(False)))
     bare = F.regexp_replace(F.regexp_replace("reply", "^\\s*```(?:json)?\\s*", ""), "\\s*```\\s*$", "")
