@@ -126,15 +126,19 @@ def horizontal(labels: Column) -> Column:
 
 def mermaid_xy(kind: Column, unit: Column, labels: Column, values: Column) -> Column:
     """A bar or line chart; null for another kind, mixed units, fewer than two records or lists of different sizes."""
+    return let(F.struct(labels.alias("a"), values.alias("v"), y_range(values, kind).alias("axis")), lambda x: _xy(kind, unit, x["a"], x["v"], x["axis"]))
+
+
+def _xy(kind: Column, unit: Column, labels: Column, values: Column, axis: Column) -> Column:
     names = F.transform(labels, lambda x: label_shown(x, "Item"))
     across = (kind == "bar") & horizontal(names)
     width = F.greatest(F.lit(WIDTH_LEAST), F.least(F.lit(WIDTH_MOST), WIDTH_BASE + F.size(values) * WIDTH_EACH))
     title = F.when(F.coalesce(F.length(F.trim(unit)), F.lit(0)) > 0, F.trim(unit)).otherwise("Value")
-    axis = y_range(values, kind)
+    number = lambda x: let(x, axis_number)
     parts = [
         F.lit("---\nconfig:\n    horizontal: "), across.cast("string"), F.lit("\n    width: "), width.cast("string"), F.lit(f"\n    height: {HEIGHT}\n    showDataLabel: true\n    themeVariables:\n        xyChart:\n            plotColorPalette: '{COLOR}'\n---\nxychart-beta"),
         F.when(across, " horizontal").otherwise(""), F.lit('\n    x-axis ["'), F.array_join(names, '", "'), F.lit('"]\n    y-axis "'), title, F.lit('" '),
-        axis_number(axis["low"]), F.lit(" --> "), axis_number(axis["high"]), F.lit("\n    "), kind, F.lit(" ["), F.array_join(F.transform(values, axis_number), ", "), F.lit("]"),
+        number(axis["low"]), F.lit(" --> "), number(axis["high"]), F.lit("\n    "), kind, F.lit(" ["), F.array_join(F.transform(values, axis_number), ", "), F.lit("]"),
     ]
     return F.when(kind.isin("bar", "line") & ~mixed_unit(unit) & (F.size(values) >= 2) & (F.size(values) == F.size(labels)), F.concat(*parts))
 

@@ -119,10 +119,11 @@ def chart_of(documents: DataFrame, client=echo) -> DataFrame:
     part = lambda rows, i: F.transform(rows, lambda r: F.get(r, F.lit(i)))
     labels, values = part(F.col("u.records"), 0), F.transform(F.col("u.records"), lambda r: F.get(r, F.lit(1)).try_cast("double"))
     kind, unit = F.col("e.image_type"), F.col("u.unit")
-    usable = C.valid_values(kind, values)
-    drawn = (
-        F.when(timeline, C.mermaid_timeline(part(F.col("e.records"), 0), part(F.col("e.records"), 1)))
-        .when(usable & (kind == "pie"), C.mermaid_pie(unit, labels, values)).when(usable, C.mermaid_xy(kind, unit, labels, values))
-    )
+
+    def of_values(x: Column) -> Column:
+        usable = C.valid_values(kind, x["v"])
+        return F.when(usable & (kind == "pie"), C.mermaid_pie(unit, x["a"], x["v"])).when(usable, C.mermaid_xy(kind, unit, x["a"], x["v"]))
+
+    drawn = F.when(timeline, C.mermaid_timeline(part(F.col("e.records"), 0), part(F.col("e.records"), 1))).otherwise(C.let(F.struct(labels.alias("a"), values.alias("v")), of_values))
     out = second.select("doc_id", F.col("e.image_title").alias("title"), kind.alias("kind"), F.coalesce("sound", F.lit(False)).alias("sound"), F.when(F.col("sound"), drawn).alias("chart"))
     return out.select("doc_id", "title", "kind", "chart", F.when(~F.col("sound"), "extraction not valid").when(F.col("chart").isNull(), "values not valid").alias("error"))
