@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -24,6 +25,78 @@ def ratio_over(a: str, b: str, bar: float) -> float:
     return 100.0 * m.ratio() if 100.0 * m.quick_ratio() > bar else 0.0
 
 
+def counted_grams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each sequence of q (1 or 2) characters of each text: the text's place, and a number for the sequence and the how manieth it is in its text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(s) for s in texts])
+    if q == 2:
+        codes, owner = ((codes[:-1] << 21) | codes[1:])[own := owner[:-1] == owner[1:]], owner[:-1][own]
+    kinds, gram = np.unique(codes, return_inverse=True)
+    key = np.sort(owner * len(kinds) + gram)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    nth = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+    return key // max(1, len(kinds)), np.unique(key % max(1, len(kinds)) + len(kinds) * nth, return_inverse=True)[1]
+
+
+def shared_grams(lefts: list[str], rights: list[str], q: int, keep: int = 1024):
+    """A function of a slice of lefts: at most how many sequences of q characters, repeats counted, each shares with each right text.
+
+    It is a product of matrices of zeros and ones. Of sequences that both sides have, the keep most frequent are columns; of the others
+    a pair is taken to share as many as the one of the two with fewer has.
+    """
+    n = len(lefts)
+    owner, gram = counted_grams(lefts + rights, q)
+    mine = owner < n
+    size = int(gram.max(initial=-1)) + 1
+    a, b = np.bincount(gram[mine], minlength=size), np.bincount(gram[~mine], minlength=size)
+    both = np.flatnonzero((a > 0) & (b > 0))
+    kept = both if len(both) <= keep else both[np.argpartition(-(a + b)[both], keep)[:keep]]
+    column, rest = np.full(size, -1), np.zeros(size, bool)
+    column[kept] = np.arange(len(kept))
+    rest[both] = True
+    rest[kept] = False
+    has = np.zeros((n + len(rights), len(kept)), np.float32)
+    own = column[gram] >= 0
+    has[owner[own], column[gram[own]]] = 1
+    more = np.bincount(owner[rest[gram]], minlength=len(has)).astype(np.float32)
+    x, y, other = has[:n], has[n:].T, more[n:]
+    return lambda at: x[at] @ y + (np.minimum(more[:n][at][:, None], other) if rest.any() else 0)
+
+
+def best_ratios(lefts: list[str], rights: list[str], threshold: float, limit: int, step: int = 256):
+    """For each left text the `limit` best of rights (score, place) with a ratio of threshold or more, of equals the first.
+
+    The ratio of texts of n and m characters is 2K / (n + m), with K at most the characters they share, and at most a third of n + m + 1 and the
+    pairs of neighbouring characters they share (functions.grams). Right texts are taken by these bounds, best first, until none can be among the best.
+    """
+    single, double = shared_grams(lefts, rights, 1), shared_grams(lefts, rights, 2)
+    n, m = (np.array([len(s) for s in side]) for side in (lefts, rights))
+    for at in range(0, len(lefts), step):
+        rows = slice(at, at + step)
+        both = n[rows][:, None] + m
+        k = np.minimum(single(rows), np.floor((double(rows) + both + 1) / 3))
+        bounds = np.where(both > 0, 100.0 * (2.0 * k / np.maximum(both, 1)), 100.0)
+        for i, bound in enumerate(bounds):
+            yield best_of(lefts[at + i], rights, bound, threshold, limit)
+
+
+def best_of(text: str, rights: list[str], bound: np.ndarray, threshold: float, limit: int, few: int = 64) -> list[tuple[float, int]]:
+    may, best, done = np.flatnonzero(bound >= threshold), [], 0
+    # first those over the few-th bound, as mostly no other is needed
+    least = np.partition(bound, -few)[-few] if len(may) > few else None
+    for places in ([may[bound[may] > least]] if least is not None else []) + [may]:
+        places = places[np.argsort(-bound[places], kind="stable")]
+        for j in places[done:].tolist():
+            if len(best) == limit and (-bound[j], j) > best[-1]:
+                return [(-s, k) for s, k in best]
+            score = 100.0 if text == rights[j] else ratio_of(text, rights[j])
+            if score >= threshold:
+                insort(best, (-score, j))
+                del best[limit:]
+        done = len(places)
+    return [(-s, k) for s, k in best]
+
+
 def partial_of(a: str, b: str) -> float:
     """Best ratio of the shorter string against each window of its length in the longer one."""
     short, long = sorted((a or "", b or ""), key=len)
@@ -86,11 +159,6 @@ def _column(f, a, b) -> F.Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
-def reached(a, b, bar: float) -> F.Column:
-    """The ratio where it may be bar or more, else 0."""
-    return _column(lambda x, y: ratio_over(x, y, bar - 1e-9), a, b)
-
-
 def ratio(a, b) -> F.Column:
     return _column(ratio_of, a, b)
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.functions.fuzzy import reached
-from tessera.functions.grams import meeting_tokens
+from tessera.functions.fuzzy import best_ratios
 from tessera.operators.graph import settled
 
 
@@ -101,41 +98,55 @@ def contained(docs: DataFrame, passages: DataFrame, block_chars: int = 1 << 24)
     return out
 
 
-def often_in(texts: DataFrame, keep: int = 4096) -> dict[str, int]:
-    """In how many texts the most frequent pairs of characters and single ones occur; keep of them, so of bounded size."""
-
-    def run(batches):
-        n: Counter = Counter()
-        for b in batches:
-            for s in b.column(0).to_pylist():
-                n.update({*s, *(s[i : i + 2] for i in range(len(s) - 1))})
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["gram", "n"])
-
-    found = texts.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r.gram: r.n for r in found.orderBy(F.desc("n"), "gram").limit(keep).collect()}
+def in_units(side: DataFrame, own: str, parts: DataFrame, other: str) -> DataFrame:
+    """Rows of a side once for each unit of their group that they belong to: own is the part a text is dealt to, other goes over all parts of the other side."""
+    n = side.join(F.broadcast(parts), "grp", "left").fillna(1, ["_l", "_r"])
+    dealt = n.withColumn("_own", F.pmod(F.xxhash64("text"), F.col(own)).cast("int"))
+    return dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col(other) - 1).cast("int")))).withColumnsRenamed({"_own": f"{own}b", "_other": f"{other}b"}).drop("_l", "_r")
 
 
-def alike_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """lid, rid and score of each left and right text of one group (grp, id, text; ids and texts of a side distinct) whose ratio is threshold or more.
+def best_alike(left: DataFrame, right: DataFrame, threshold: float, limit: int, most: int = 4096) -> DataFrame:
+    """lid, rid and score of the best right texts of its group for each left text (grp, id, text; ids and texts of a group's side distinct).
 
-    Texts that are equal are left out. Candidates come from an equi-join on group and token (functions.grams), not from all pairs
-    of a group, and only within the lengths that the ratio allows; no pair that reaches the threshold is missed.
+    A group is taken as it is; one of more than `most` texts on a side is cut into parts of about that many, and each left part meets each
+    right part, so that a task holds two parts at most. Each gives up to `limit` rows a left text. Texts are shipped once for each part of the
+    other side; likenesses are worked out only where a bound from shared characters can still be among the best (functions.fuzzy.best_ratios).
     """
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    often = left.sparkSession.sparkContext.broadcast(often_in(left.select("text").unionByName(right.select("text"))))
+    count = lambda side, name: side.groupBy("grp").agg(F.ceil(F.count("*") / most).alias(name))
+    over = count(left, "_l").where("_l > 1").join(count(right, "_r").where("_r > 1"), "grp", "full")
+    parts = settled(over.select("grp", F.coalesce("_l", F.lit(1)).cast("long").alias("_l"), F.coalesce("_r", F.lit(1)).cast("long").alias("_r")))
+    sides = in_units(left, "_l", parts, "_r").select("grp", "_lb", "_rb", F.lit(0).alias("side"), "id", "text").unionByName(in_units(right, "_r", parts, "_l").select("grp", "_lb", "_rb", F.lit(1).alias("side"), "id", "text"))
+    kind = left.schema["id"].dataType.simpleString()
+
+    def found(lefts: list[tuple], rights: list[tuple]):
+        rights.sort()
+        ids, texts = [i for i, _ in rights], [s for _, s in rights]
+        for (i, _), best in zip(lefts, best_ratios([s for _, s in lefts], texts, threshold, limit), strict=True):
+            yield from ((i, ids[k], score) for score, k in best)
 
-    @F.pandas_udf("array<string>")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: meeting_tokens(s, threshold, often.value))
-
-    def dealt(side: DataFrame, name: str) -> DataFrame:
-        return side.repartition(parts, "id").select(F.col("grp").alias("_g"), F.col("id").alias(f"{name}id"), F.length("text").alias(f"{name}n"), F.explode(tokens("text")).alias("_t"))
-
-    # as many parts as a shuffle has, though they be small: texts take long for their bytes; pairs dealt by lid are distinct without another shuffle
-    n, m = F.col("ln"), F.col("rn")
-    near = dealt(left, "l").join(dealt(right, "r"), ["_g", "_t"]).where(200.0 * F.least(n, m) >= threshold * (n + m)).select("lid", "rid").repartition(parts, "lid").distinct()
-    texts = near.join(left.select(F.col("id").alias("lid"), F.col("text").alias("a")), "lid").join(right.select(F.col("id").alias("rid"), F.col("text").alias("b")), "rid").where("a <> b")
-    return texts.withColumn("score", reached("a", "b", threshold)).where(F.col("score") >= threshold).select("lid", "rid", "score")
+    def run(batches):
+        unit, lefts, rights, out = None, [], [], []
+        for b in batches:
+            grp, lb, rb, side, ids, texts = (c.to_pylist() for c in b.columns)
+            for k, own in enumerate(zip(grp, lb, rb, strict=True)):
+                if own != unit:
+                    if lefts and rights:
+                        out += found(lefts, rights)
+                    unit, lefts, rights = own, [], []
+                (rights if side[k] else lefts).append((ids[k], texts[k]))
+            yield rows_of(out)
+            out = []
+        if lefts and rights:
+            yield rows_of(list(found(lefts, rights)))
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        lid, rid, score = zip(*rows, strict=True) if rows else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(lid, at), pa.array(rid, at), pa.array(score, pa.float64())], names=["lid", "rid", "score"])
+
+    at = to_arrow_type(left.schema["id"].dataType)
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sides.repartition(n, "grp", "_lb", "_rb").sortWithinPartitions("grp", "_lb", "_rb")
+    return dealt.mapInArrow(run, f"lid {kind}, rid {kind}, score double")
 
 
 def best_fuzzy(left: DataFrame, right: DataFrame, threshold: float, limit: int = 1) -> DataFrame:
@@ -149,9 +160,7 @@ def best_fuzzy(left: DataFrame, right: DataFrame, threshold: float, limit: int =
     lefts = lefts.agg(F.min("id").alias("id"))
     rights = rights.agg(F.min("id").alias("id")) if limit == 1 else rights.agg(F.min("id").alias("id"), F.slice(F.sort_array(F.collect_set("id")), 1, limit).alias("ids"))
     lefts, rights = settled(lefts), settled(rights)  # each is read several times
-    same = lefts.join(rights.select(*keys, F.col("id").alias("rid")), keys).select(F.col("id").alias("lid"), "rid", F.lit(100.0).alias("score"))
-    rest = lefts.join(same, lefts["id"] == same["lid"], "left_anti") if limit == 1 else lefts
-    scored = same.unionByName(alike_pairs(rest, rights.select(*keys, "id"), threshold))
+    scored = best_alike(lefts, rights.select(*keys, "id"), threshold, limit)
     if limit > 1:
         scored = scored.join(rights.select(F.col("id").alias("rid"), "ids"), "rid").select("lid", "score", F.explode("ids").alias("rid"))
     best = ranked(scored, ["lid"], [F.desc("score"), "rid"], limit)

@@ -80,6 +80,52 @@ def test_many_copies_are_compared_once(spark):
     assert got.count() == 6000 and {r.match_id for r in got.select("match_id").distinct().collect()} == {10000, 10001}
 
 
+def test_parts_of_large_groups_meet(spark):
+    rng = random.Random(9)
+    seeds = ["".join(rng.choice("abcdefgh ") for _ in range(40)) for _ in range(9)]
+    sides = [[(rng.choice([1, 1, 1, 2]), at + i, t) for i, t in enumerate(sorted({made(rng, rng.choice(seeds)) for _ in range(90)}))] for at in (0, 1000)]
+    left, right = (spark.createDataFrame(rows, "grp long, id long, text string") for rows in sides)
+    for limit in (1, 3):
+        best = {}
+        for r in retrieve.best_alike(left, right, 70.0, limit, most=16).collect():
+            best.setdefault(r.lid, []).append((-r.score, r.rid))
+        got = {(i, k + 1): (j, round(-s, 9)) for i, found in best.items() for k, (s, j) in enumerate(sorted(found)[:limit])}
+        assert got == all_pairs(*sides, 70.0, limit) and len(got) > 50
+
+
+def test_texts_are_shipped_once(spark):
+    """One row a text, not one for each of its sequences of characters."""
+    side = spark.range(300).selectExpr("id % 20 AS grp", "id", "concat('a sentence of some length that has the number ', id) AS text")
+    plan = retrieve.best_fuzzy(side, side, 80.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tokens(" not in plan and plan.count("Generate") <= 2
+
+
+def test_few_texts_are_compared(monkeypatch):
+    rng, n, plain = random.Random(2), Counter(), fuzzy.ratio_of
+
+    def counted(a, b):
+        n["ratios"] += 1
+        return plain(a, b)
+
+    monkeypatch.setattr(fuzzy, "ratio_of", counted)
+    url = lambda: f"https://tion.example.net/{rng.choice(['en', 'fr', 'de'])}/{rng.randrange(100000)}{rng.choice(['', '/', '.html', '#top'])}"
+    left, right = sorted({url() for _ in range(60)}), sorted({url() for _ in range(600)})
+    got = [[(j, round(s, 9)) for s, j in best] for best in fuzzy.best_ratios(left, right, 75.0, 3)]
+    assert n["ratios"] < 30 * len(left)
+    want = all_pairs([(1, i, t) for i, t in enumerate(left)], [(1, j, t) for j, t in enumerate(right)], 75.0, 3)
+    assert {(i, k + 1): x for i, best in enumerate(got) for k, x in enumerate(best)} == want
+
+
+def test_shared_grams_are_bounds():
+    rng = random.Random(6)
+    for q in (1, 2):
+        a, b = ([made(rng, "abracadabra ab")[: rng.randint(0, 20)] for _ in range(30)] for _ in range(2))
+        grams_of = lambda s, q=q: Counter(s[i : i + q] for i in range(len(s) - q + 1))
+        want = np.array([[(grams_of(x) & grams_of(y)).total() for y in b] for x in a])
+        assert np.array_equal(fuzzy.shared_grams(a, b, q)(slice(None)), want)
+        assert np.all(fuzzy.shared_grams(a, b, q, keep=3)(slice(None)) >= want)
+
+
 def test_tokens_miss_no_pair():
     rng = random.Random(5)
     for k in range(8000):
