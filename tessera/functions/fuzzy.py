@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import insort
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -152,6 +153,18 @@ def token_set_of(a: str, b: str) -> float:
     return (jaccard + ratio_of(" ".join(sorted(x)), " ".join(sorted(y)))) / 2
 
 
+def token_set_over(a: str, b: str, bar: float) -> bool:
+    """Whether token_set_of is over bar; the ratio is worked out only where lengths and letters let it be."""
+    x, y = set((a or "").lower().split()), set((b or "").lower().split())
+    if not x and not y:
+        return 100.0 > bar
+    jaccard, s, t = 100.0 * len(x & y) / len(x | y), " ".join(sorted(x)), " ".join(sorted(y))
+    n = len(s) + len(t)
+    if (jaccard + 100.0 * (2.0 * min(len(s), len(t)) / n)) / 2 <= bar or (jaccard + 100.0 * (2.0 * (Counter(s) & Counter(t)).total() / n)) / 2 <= bar:
+        return False
+    return (jaccard + ratio_of(s, t)) / 2 > bar
+
+
 def _column(f, a, b) -> F.Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([f(i, j) for i, j in zip(x, y, strict=True)], dtype="float64")

@@ -10,7 +10,6 @@ anything meet by single characters, which every ratio over zero bounds.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 
 def slope(bar: float, q: int) -> float:
@@ -26,23 +25,18 @@ def short_below(bar: float, q: int) -> float:
     return q / c if c > 0 else math.inf
 
 
-def tokens(text: str, q: int) -> list[str]:
-    """q, the how manieth, and the sequence, for each sequence of q characters."""
-    seen: Counter = Counter()
-    out = []
-    for i in range(len(text) - q + 1):
-        g = text[i : i + q]
-        seen[g] += 1
-        out.append(f"{q}:{seen[g]}:{g}")
-    return out
-
-
 def first_tokens(text: str, q: int, bar: float, often: dict[str, int]) -> list[str]:
-    """The rarest tokens of a text, one more than it may fail to share. often: how often a sequence occurs, roughly; it only orders."""
+    """The rarest tokens of a text, one more than it may fail to share. A token is q, the how manieth, and the sequence, for each sequence of
+    q characters. often: how often a sequence occurs, roughly; it only orders."""
     shared = math.ceil(slope(bar, q) * len(text) - q + 1 - 1e-9)
-    own = tokens(text, q)
-    own.sort(key=lambda x: (often.get(x[x.index(":", 2) + 1 :], 0) / int(x[2 : x.index(":", 2)]), x))
-    return own[: max(0, len(own) - max(1, shared) + 1)]
+    seen: dict[str, int] = {}
+    own = []
+    for i in range(len(text) - q + 1):
+        g = text[i : i + q]
+        k = seen[g] = seen.get(g, 0) + 1
+        own.append((often.get(g, 0) / k, f"{q}:{k}:{g}"))
+    own.sort()
+    return [t for _, t in own[: max(0, len(own) - max(1, shared) + 1)]]
 
 
 def meeting_tokens(text: str, bar: float, often: dict[str, int], q: int = 2) -> list[str]:

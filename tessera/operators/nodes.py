@@ -56,7 +56,7 @@ class Numbering:
         best = max(((fuzzy.ratio_over(text, self.labels[i][0], SAME_STATEMENT), -i) for i in met), default=(0.0, 0))
         if best[0] > SAME_STATEMENT:
             return self.labels[-best[1]][1]
-        final = fuzzy.token_set_of(text, self.conclusion) > CONCLUSION or fuzzy.partial_over(text, self.conclusion, CONCLUSION)
+        final = fuzzy.token_set_over(text, self.conclusion, CONCLUSION) or fuzzy.partial_over(text, self.conclusion, CONCLUSION)
         node = self.same[text] = self.add(("text", text), text, None, "conclusion" if final else "statement")
         for t in own:
             self.by_token.setdefault(t, []).append(len(self.labels))
@@ -99,7 +99,9 @@ def numbered(inferences: DataFrame) -> DataFrame:
             yield pd.DataFrame({"inference_id": b["inference_id"], "nodes": [n for n, _ in rows], "edges": [e for _, e in rows]})
 
     kind = inferences.schema["inference_id"].dataType.simpleString()
-    return inferences.select("inference_id", "conclusion", "edges", "records").mapInPandas(run, f"inference_id {kind}, nodes {NODES}, edges {EDGES}")
+    # as many parts as a shuffle has, though they be small: inferences take long for their bytes. By a key it would be left out after a grouping
+    parts = int(inferences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return inferences.select("inference_id", "conclusion", "edges", "records").repartition(parts).mapInPandas(run, f"inference_id {kind}, nodes {NODES}, edges {EDGES}")
 
 
 def find_fragment(text: str, piece: str, threshold: float) -> tuple[int, int] | None:

@@ -116,6 +116,24 @@ def test_few_texts_are_compared(monkeypatch):
     assert {(i, k + 1): x for i, best in enumerate(got) for k, x in enumerate(best)} == want
 
 
+def test_long_statements_are_not_compared_with_a_conclusion(monkeypatch):
+    rng, n, plain = random.Random(12), Counter(), fuzzy.ratio_of
+
+    def counted(a, b):
+        n["ratios"] += 1
+        return plain(a, b)
+
+    words = ["so", "it", "ends", "with", "many", "words", "A", "B"]
+    text = lambda most: " ".join(rng.choice(words) for _ in range(rng.randint(0, most)))
+    pairs = [(text(9), text(9)) for _ in range(400)]
+    for bar in (40.0, 60.0, 80.0):
+        assert [fuzzy.token_set_over(a, b, bar) for a, b in pairs] == [fuzzy.token_set_of(a, b) > bar for a, b in pairs]
+    monkeypatch.setattr(fuzzy, "ratio_of", counted)
+    at = N.Numbering("so it ends", {})
+    at.statement(" ".join(f"word{i}" for i in range(400)))
+    assert not n and at.nodes[0]["kind"] == "statement"
+
+
 def test_shared_grams_are_bounds():
     rng = random.Random(6)
     for q in (1, 2):
