@@ -105,15 +105,16 @@ def in_units(side: DataFrame, own: str, parts: DataFrame, other: str) -> DataFra
     return dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col(other) - 1).cast("int")))).withColumnsRenamed({"_own": f"{own}b", "_other": f"{other}b"}).drop("_l", "_r")
 
 
-def best_alike(left: DataFrame, right: DataFrame, threshold: float, limit: int, most: int = 4096) -> DataFrame:
+def best_alike(left: DataFrame, right: DataFrame, threshold: float, limit: int, most: int = 2048, wide: int | None = None) -> DataFrame:
     """lid, rid and score of the best right texts of its group for each left text (grp, id, text; ids and texts of a group's side distinct).
 
-    A group is taken as it is; one of more than `most` texts on a side is cut into parts of about that many, and each left part meets each
-    right part, so that a task holds two parts at most. Each gives up to `limit` rows a left text. Texts are shipped once for each part of the
-    other side; likenesses are worked out only where a bound from shared characters can still be among the best (functions.fuzzy.best_ratios).
+    A group is taken as it is; one of more than `most` left or `wide` (default 16 times as many) right texts is cut into parts of about that many,
+    and each left part meets each right part, so that a task holds two parts at most. Each gives up to `limit` rows a left text. Texts are
+    shipped once for each part of the other side; likenesses are worked out only of those that are found by their numbers, or where a bound from shared
+    characters can still be among the best (functions.fuzzy.best_ratios).
     """
-    count = lambda side, name: side.groupBy("grp").agg(F.ceil(F.count("*") / most).alias(name))
-    over = count(left, "_l").where("_l > 1").join(count(right, "_r").where("_r > 1"), "grp", "full")
+    count = lambda side, name, size: side.groupBy("grp").agg(F.ceil(F.count("*") / size).alias(name))
+    over = count(left, "_l", most).where("_l > 1").join(count(right, "_r", wide or 16 * most).where("_r > 1"), "grp", "full")
     parts = settled(over.select("grp", F.coalesce("_l", F.lit(1)).cast("long").alias("_l"), F.coalesce("_r", F.lit(1)).cast("long").alias("_r")))
     sides = in_units(left, "_l", parts, "_r").select("grp", "_lb", "_rb", F.lit(0).alias("side"), "id", "text").unionByName(in_units(right, "_r", parts, "_l").select("grp", "_lb", "_rb", F.lit(1).alias("side"), "id", "text"))
     kind = left.schema["id"].dataType.simpleString()

@@ -116,6 +116,30 @@ def test_few_texts_are_compared(monkeypatch):
     assert {(i, k + 1): x for i, best in enumerate(got) for k, x in enumerate(best)} == want
 
 
+def test_numbers_are_looked_up(monkeypatch):
+    """In a large group the texts of few forms aren't compared by the matrices of all pairs, and none of the best is lost."""
+    rng = random.Random(3)
+    url = lambda n: f"{rng.choice(['http', 'https'])}://a.net/{rng.choice(['en', 'fr'])}/{rng.randrange(n)}{rng.choice(['', '/', '.html', '?page=2'])}"
+    for n, bar, limit in ((3000, 75.0, 3), (3000, 90.0, 1), (10**8, 80.0, 2)):
+        left, right = sorted({url(n) for _ in range(60)}), sorted({url(n) for _ in range(900)} | {"", "7", "no number"})
+        want = all_pairs([(1, i, t) for i, t in enumerate(left)], [(1, j, t) for j, t in enumerate(right)], bar, limit)
+        got = list(fuzzy.best_ratios(left, right, bar, limit, block=200))
+        assert {(i, k + 1): (j, round(s, 9)) for i, best in enumerate(got) for k, (s, j) in enumerate(best)} == want
+    compared = Counter()
+    plain = fuzzy.shared_grams
+    monkeypatch.setattr(fuzzy, "shared_grams", lambda a, b, q: compared.update(pairs=len(a) * len(b)) or plain(a, b, q))
+    left, right = sorted({url(5000) for _ in range(300)}), sorted({url(5000) for _ in range(3000)})
+    assert len(list(fuzzy.best_ratios(left, right, 75.0, 3))) == len(left) and compared["pairs"] < len(left) * len(right) / 10
+
+
+def test_parts_of_both_sides_meet(spark):
+    sides = [spark.range(120).selectExpr("1L AS grp", f"id + {at} AS id", f"concat('https://a.net/', id * {7 + at}) AS text") for at in (0, 1000)]
+    got = {(r.lid, r.rid) for r in retrieve.best_alike(*sides, 70.0, 1, most=16, wide=40).groupBy("lid").agg({"score": "max"}).join(retrieve.best_alike(*sides, 70.0, 1, most=16, wide=40), "lid").where("score = `max(score)`").collect()}
+    own = [[tuple(r) for r in side.collect()] for side in sides]
+    want = all_pairs(*own, 70.0, 1)
+    assert {i for i, _ in got} == {i for i, _ in want} and all((i, j) in got for (i, _), (j, _) in want.items())
+
+
 def test_long_statements_are_not_compared_with_a_conclusion(monkeypatch):
     rng, n, plain = random.Random(12), Counter(), fuzzy.ratio_of
 
