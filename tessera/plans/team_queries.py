@@ -75,7 +75,7 @@ def blocked_steps(t):
     own = t("lineitem").select(Q("l_orderkey").alias("outline_id"), Q("l_partkey").alias("p")).distinct()
     waits = F.when(Q("p") % 5 == 0, F.array(F.lit("root"), F.lit("unknown"))).when(Q("p") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("root")))
     items = own.select("outline_id", Q("p").cast("string").alias("id"), waits.alias("parent_ids"))
-    roots = own.select("outline_id", F.lit("root").alias("id"), F.array().cast("array<string>").alias("parent_ids")).distinct()
+    roots = own.select("outline_id").distinct().select("outline_id", F.lit("root").alias("id"), F.array().cast("array<string>").alias("parent_ids"))
     done = team.ready_rounds(items.unionByName(roots), lambda r: r.select("outline_id", "id", F.lit("x").alias("result")), ["outline_id"])
     return done.select("outline_id", "id", "round")
 

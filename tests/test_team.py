@@ -1,6 +1,7 @@
 """Rounds over dependency graphs: cycles, unknown parents, failing stages, empty input; plans of sections with odd replies."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -29,6 +30,33 @@ def test_items_a_stage_leaves_out_block_what_follows(spark):
     assert rounds(spark, [(1, "a", []), (1, "b", []), (1, "c", ["b"]), (1, "d", ["a"])], run) == {(1, "a"): (0, "r"), (1, "b"): (None, None), (1, "c"): (None, None), (1, "d"): (1, "r")}
 
 
+def test_rounds_read_their_own_items(spark, monkeypatch):
+    """What can't be ready isn't met again in each round, and no round is run for it; large graphs have the same rounds by joins."""
+    rng = random.Random(7)
+    rows = [(g, str(i), sorted({str(rng.randrange(-1, i + 1 if rng.random() < 0.1 else max(1, i))) for _ in range(rng.randrange(3))})) for g in (1, 2, 3, None) for i in range(40)]
+    rows += [(4, "a", []), (4, "b", ["a"]), (4, "c", ["nobody"])]
+    want = rounds(spark, rows, most=0)
+    assert rounds(spark, rows) == rounds(spark, rows, most=20) == want and max(n for n, _ in want.values() if n is not None) > 2
+    asked = []
+    plain = team.with_background
+    monkeypatch.setattr(team, "with_background", lambda items, *a: asked.append(items.count()) or plain(items, *a))
+    assert rounds(spark, [r for r in rows if r[0] == 4])[(4, "c")] == (None, None) and asked == [1, 1]
+
+
+def test_levels_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(g, str(i), [str(i - 1)] if i else []) for g in range(9) for i in range(g + 1)]
+        for most in (0, 5, 100):
+            df = team.levelled(spark.createDataFrame(rows, ITEMS), ["g"], False, most)
+            got = {(r.g, int(r.id)): r["_level"] for r in df.collect()}
+            assert len(got) == len(rows) and all(n in (i, team.LARGE) and (n == i or g >= most) for (g, i), n in got.items())
+            large = [{n == team.LARGE for (g, _), n in got.items() if g == k} for k in range(9)]
+            assert all(len(x) == 1 for x in large)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_section_plans_end_in_each_way(spark):
     def planner(prompts):
         out = []
