@@ -201,7 +201,7 @@ def section_plans(sections: DataFrame, planner=echo, collect: Stage = collected,
         one = going.select(*keys, F.lit(k).alias("plan"), F.posexplode("parsed.steps").alias("place", "s"))
         none = F.array().cast("array<string>")
         one = one.select(*keys, "plan", F.col("s.id").alias("id"), "place", F.coalesce("s.title", F.lit("")).alias("title"), F.coalesce("s.description", F.lit("")).alias("description"), F.coalesce("s.parent_ids", none).alias("parent_ids"))
-        worked = ready_rounds(one.where("length(id) > 0"), collect, [*keys, "plan"])
+        worked = ready_rounds(one.where("length(id) > 0"), collect, [*keys, "plan"], together=True)
         steps = worked if steps is None else steps.unionByName(worked)
         found = worked.where("round is not null").groupBy(*keys).agg(ordered_list("place", "result").alias("_new")).withColumnsRenamed({c: f"_{c}" for c in keys})
         after = going.select(*keys, "title", "background", "results", "plans").join(found, _all([going[c].eqNullSafe(found[f"_{c}"]) for c in keys]), "left")

@@ -43,6 +43,21 @@ def test_rounds_read_their_own_items(spark, monkeypatch):
     assert rounds(spark, [r for r in rows if r[0] == 4])[(4, "c")] == (None, None) and asked == [1, 1]
 
 
+def test_steps_of_a_plan_are_not_dealt_anew(spark, monkeypatch):
+    plans, plain = [], team.levelled
+
+    def levelled(*a):
+        out = plain(*a)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(team, "levelled", levelled)
+    sections = spark.createDataFrame([(1, "s", "t", [])], "outline_id long, section_id string, title string, background array<string>")
+    step = json.dumps({"is_research_completed": False, "steps": [{"id": "a", "title": "x"}]})
+    team.section_plans(sections, lambda ps: [step] * len(ps), lambda s: team.collected(s, lambda ps: ['{"info_summary": "i"}'] * len(ps)), most=1)
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
 def test_levels_over_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
