@@ -9,8 +9,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tessera.functions import fuzzy
 from tessera.functions.grams import meeting_tokens
@@ -21,6 +24,8 @@ PROGRAM_TITLE = "ProgrammerNode"
 
 NODES = "array<struct<id:int,label:string,url:string,kind:string>>"
 EDGES = "array<struct<heads:array<int>,relation:string,tail:int>>"
+FLAT = "array<struct<src:int,relation:string,dst:int>>"
+PARTS = "array<array<struct<id:int,label:string>>>"
 
 
 class Numbering:
@@ -104,6 +109,99 @@ def numbered(inferences: DataFrame) -> DataFrame:
     return inferences.select("inference_id", "conclusion", "edges", "records").repartition(parts).mapInPandas(run, f"inference_id {kind}, nodes {NODES}, edges {EDGES}")
 
 
+def grounded_part(nodes: list[dict], edges: list[dict]) -> tuple | None:
+    """goal, nodes, edges (src, relation, dst) and parts of a graph without loops and nodes that nothing leads to; None if no goal or not one is left.
+
+    The goal is the one conclusion that leads nowhere; removed are, until nothing changes, nodes that are no citation and that no node left leads to.
+    """
+    flat = [{"src": h, "relation": e["relation"], "dst": e["tail"]} for e in edges for h in e["heads"] if h != e["tail"]]
+    onward: dict[int, list[int]] = {}
+    for e in flat:
+        onward.setdefault(e["src"], []).append(e["dst"])
+    goals = [n["id"] for n in nodes if n["kind"] == "conclusion" and n["id"] not in onward]
+    fed = Counter(e["dst"] for e in flat)
+    ground = {n["id"] for n in nodes if n["kind"] in ("citation", "program")}
+    bare = [n["id"] for n in nodes if n["id"] not in ground and not fed[n["id"]]]
+    gone = set(bare)
+    while bare:
+        for x in onward.get(bare.pop(), ()):
+            fed[x] -= 1
+            if not fed[x] and x not in ground and x not in gone:
+                gone.add(x)
+                bare.append(x)
+    if len(goals) != 1 or goals[0] in gone:
+        return None
+    nodes, flat = [n for n in nodes if n["id"] not in gone], [e for e in flat if e["src"] not in gone and e["dst"] not in gone]
+    near: dict[int, list[int]] = {}
+    for e in flat:
+        near.setdefault(e["src"], []).append(e["dst"])
+        near.setdefault(e["dst"], []).append(e["src"])
+    part: dict[int, int] = {}
+    for n in nodes:
+        spread(near, n["id"], part, n["id"])
+    parts: dict[int, list[dict]] = {}
+    for n in sorted(nodes, key=lambda n: n["id"]):
+        parts.setdefault(part[n["id"]], []).append({"id": n["id"], "label": n["label"]})
+    return goals[0], nodes, flat, sorted(parts.values(), key=lambda p: p[0]["id"])
+
+
+def spread(near: dict[int, list[int]], start: int, seen: dict[int, int], name: int) -> None:
+    """Gives a name to what can be reached from start and has none."""
+    front = [] if start in seen else [start]
+    seen.setdefault(start, name)
+    while front:
+        for x in near.get(front.pop(), ()):
+            if x not in seen:
+                seen[x] = name
+                front.append(x)
+
+
+def grounded_graphs(graphs: DataFrame) -> DataFrame:
+    """inference_id, goal, nodes, edges and parts (nodes that hang together) of numbered graphs, as grounded_part has them; those without are left out."""
+    kind = graphs.schema["inference_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [grounded_part(n, e) for n, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            own = [i for i, x in enumerate(found) if x]
+            columns = zip(*[found[i] for i in own], strict=True) if own else [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), *[pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]], names=names)
+
+    schema = f"inference_id {kind}, goal int, nodes {NODES}, edges {FLAT}, parts {PARTS}"
+    names, types = arrow_types(schema)
+    return graphs.select("inference_id", "nodes", "edges").mapInArrow(run, schema)
+
+
+def arrow_types(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    """Names of a schema's columns, and the Arrow types of all but the first."""
+    fields = StructType.fromDDL(schema).fields
+    return [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields[1:]]
+
+
+def leading_to_goal(graphs: DataFrame) -> DataFrame:
+    """inference_id, nodes and edges that lead to the goal of grounded graphs, with those of the proposed edges that join two parts."""
+    kind = graphs.schema["inference_id"].dataType.simpleString()
+
+    def led(goal: int, nodes: list[dict], edges: list[dict], parts: list[list[dict]], proposed: list[dict]) -> tuple[list[dict], list[dict]]:
+        part = {n["id"]: k for k, p in enumerate(parts) for n in p}
+        edges = edges + [e for e in proposed if e["src"] in part and e["dst"] in part and part[e["src"]] != part[e["dst"]]]
+        back: dict[int, list[int]] = {}
+        for e in edges:
+            back.setdefault(e["dst"], []).append(e["src"])
+        seen: dict[int, int] = {}
+        spread(back, goal, seen, 0)
+        return [n for n in nodes if n["id"] in seen], [e for e in edges if e["src"] in seen and e["dst"] in seen]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [led(*row) for row in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[k] for x in found], t) for k, t in enumerate(types)]], names=names)
+
+    schema = f"inference_id {kind}, nodes {NODES}, edges {FLAT}"
+    names, types = arrow_types(schema)
+    return graphs.select("inference_id", "goal", "nodes", "edges", "parts", "proposed").mapInArrow(run, schema)
+
+
 def find_fragment(text: str, piece: str, threshold: float) -> tuple[int, int] | None:
     """Where piece is in text: exactly, or the window of its length most like it, the first of equals.
 
