@@ -8,6 +8,7 @@ from bisect import insort
 from collections import Counter
 from difflib import SequenceMatcher
 from itertools import combinations
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,26 @@ def ratio_over(a: str, b: str, bar: float) -> float:
     return 100.0 * m.ratio() if 100.0 * m.quick_ratio() > bar else 0.0
 
 
+def ratio_reaches(a: str, b: str, bar: float) -> bool:
+    """Whether ratio_of is bar or more; it is worked out only where two bounds don't tell.
+
+    Characters that match are a common subsequence, so there are no more of them than the longest one has. SequenceMatcher takes the longest common
+    piece first, unless b has the 200 characters from which on it leaves out frequent ones, so they are no fewer than a common start or end has.
+    """
+    a, b = a or "", b or ""
+    if a == b:
+        return bar <= 100.0
+    n, short = len(a) + len(b), min(len(a), len(b))
+    start = len(commonprefix((a, b)))
+    end = len(commonprefix((a[::-1], b[::-1])))
+    if len(b) < 200 and 100.0 * (2.0 * max(start, end) / n) >= bar:
+        return True
+    end = min(end, short - start)
+    if 100.0 * (2.0 * short / n) < bar or 100.0 * (2.0 * (start + end + common_length(a[start : len(a) - end], b[start : len(b) - end])) / n) < bar:
+        return False
+    return ratio_of(a, b) >= bar
+
+
 def counted_grams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
     """For each sequence of q (1 or 2) characters of each text: the text's place, and a number for the sequence and the how manieth it is in its text."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.fuzzy import ratio
+from tessera.functions.fuzzy import ratio_reaches
 from tessera.operators.records import ordered_list
 
 #: How alike, and of how like lengths, a line and a title are; what a first piece of a title has more characters than.
 ALIKE, LENGTHS, PIECE = 90.0, 0.9, 8
 
-STATE = "struct<next:int,raw:string,held:array<string>,out:array<string>>"
-
 
 def by_page(bookmarks: DataFrame) -> DataFrame:
     """doc_id, page and titles (level from 1, title without outer blanks; in the order of `ord`) of bookmarks (doc_id, page, ord, level from 0, title)."""
@@ -20,59 +19,47 @@ def by_page(bookmarks: DataFrame) -> DataFrame:
     return bookmarks.groupBy("doc_id", "page").agg(ordered_list("ord", own).alias("titles"))
 
 
-def alike(pages: DataFrame, fuzzy: bool) -> DataFrame:
-    """pages (doc_id, page, lines, titles) with `likes`: for each line the places of the titles it is taken for.
+def alike(line: str, title: str) -> bool:
+    """Whether a line and a title are of like lengths and, but for case, of a ratio of ALIKE or more."""
+    short, long = sorted((len(line), len(title)))
+    return short > 0 and short / long > LENGTHS and ratio_reaches(line.lower(), title.lower(), ALIKE)
 
-    Only pairs of like lengths are compared; of those, the ones that differ in more than case go through the ratio.
-    """
-    low = pages.withColumn("low", F.transform("titles", lambda t: F.lower(t["title"])))
-    same = F.transform("lines", lambda s: F.filter(F.transform("low", lambda t, i: F.when((t == F.lower(s)) & (t != ""), i)), lambda i: i.isNotNull()))
-    own = low.withColumn("likes", same)
-    if not fuzzy:
-        return own.drop("low")
-
-    def near(s: F.Column, t: F.Column) -> F.Column:
-        short, long = F.least(F.length(s), F.length(t)), F.greatest(F.length(s), F.length(t))
-        return (short > 0) & (short / long > LENGTHS) & (F.lower(s) != t)
-
-    gated = F.transform("lines", lambda s: F.filter(F.transform("low", lambda t, i: F.when(near(s, t), i)), lambda i: i.isNotNull()))
-    pairs = own.select("doc_id", "page", "lines", "low", F.posexplode(gated).alias("line", "nexts")).select("doc_id", "page", "line", F.lower(F.col("lines")[F.col("line")]).alias("s"), "low", F.explode("nexts").alias("k"))
-    found = pairs.withColumn("score", ratio("s", F.col("low")[F.col("k")])).where(F.col("score") >= ALIKE)
-    more = found.groupBy("doc_id", "page").agg(F.collect_list(F.struct("line", "k")).alias("more"))
-    joined = own.join(more.withColumnsRenamed({"doc_id": "_d", "page": "_p"}), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("page").eqNullSafe(F.col("_p")), "left")
-    added = F.transform("likes", lambda own, i: F.array_union(own, F.transform(F.filter(F.coalesce("more", F.array()), lambda m: m["line"] == i), lambda m: m["k"])))
-    return joined.withColumn("likes", added).drop("low", "more", "_d", "_p")
-
-
-def aligned() -> F.Column:
-    """The fold over a page's lines: place of the next title, what is stitched of it, the lines stitched so far, lines put out."""
-    start = F.struct(F.lit(0).alias("next"), F.lit("").alias("raw"), F.array().cast("array<string>").alias("held"), F.array().cast("array<string>").alias("out")).cast(STATE)
-
-    def heading(t: F.Column) -> F.Column:
-        return F.concat(F.repeat(F.lit("#"), F.least(t["level"], F.lit(6))), F.lit(" "), t["title"])
-
-    def state(k, raw, held, out) -> F.Column:
-        return F.struct(k.alias("next"), raw.alias("raw"), held.alias("held"), out.alias("out")).cast(STATE)
-
-    def step(a: F.Column, line: F.Column) -> F.Column:
-        s, title = line["text"], F.get("titles", a["next"])
-        low, want, new = F.lower(s), F.lower(title["title"]), F.lower(F.concat(a["raw"], s))
-        none, nothing = F.array().cast("array<string>"), F.lit("")
-        found = state(a["next"] + 1, nothing, none, F.array_append(a["out"], heading(title)))
-        return (
-            F.when(title.isNull(), state(a["next"], a["raw"], a["held"], F.array_append(a["out"], s)))
-            .when(F.array_contains(line["likes"], a["next"]), found)
-            .when((a["raw"] == "") & F.startswith(want, low) & (F.length(s) > PIECE), state(a["next"], s, F.array(s), a["out"]))
-            .when((a["raw"] != "") & (new == want), found)
-            .when((a["raw"] != "") & F.startswith(want, new), state(a["next"], F.concat(a["raw"], s), F.array_append(a["held"], s), a["out"]))
-            .when(a["raw"] != "", state(a["next"] + 1, nothing, none, F.concat(a["out"], a["held"], F.array(s))))
-            .otherwise(state(a["next"], nothing, none, F.array_append(a["out"], s)))
-        )
-
-    def end(a: F.Column) -> F.Column:
-        return F.when(a["raw"] != "", F.array_append(a["out"], heading(F.get("titles", a["next"])))).otherwise(a["out"])
-
-    return F.aggregate(F.arrays_zip(F.col("lines").alias("text"), "likes"), start, step, end)
+
+def aligned(lines: list[str], titles: list[dict], fuzzy: bool) -> list[str]:
+    """The walk over a page's lines. A line is compared with the next title only, so a page costs as many likenesses as it has lines at most."""
+    k, raw, held, out = 0, "", [], []  # the next title, what is stitched of it, the lines stitched so far, lines put out
+
+    def heading() -> str:
+        level = titles[k]["level"]
+        return "#" * (6 if level is None else min(level, 6)) + " " + titles[k]["title"]
+
+    for s in lines:
+        title = titles[k]["title"] if k < len(titles) else None
+        if title is None:
+            out.append(s)
+            continue
+        low, want, new = s.lower(), title.lower(), (raw + s).lower()
+        if low == want != "" or (fuzzy and alike(s, title)) or (raw and new == want):
+            out.append(heading())
+            k, raw, held = k + 1, "", []
+        elif (not raw and want.startswith(low) and len(s) > PIECE) or (raw and want.startswith(new)):
+            raw, held = raw + s, [*held, s]
+        elif raw:
+            out += [*held, s]
+            k, raw, held = k + 1, "", []
+        else:
+            out.append(s)
+    return [*out, heading()] if raw else out
+
+
+def with_headings(lines: str, titles: str, fuzzy: bool) -> F.Column:
+    """aligned as a column, worked out once: taken for deterministic, it would be again for the filter that explode brings along."""
+
+    def run(left, right):
+        return pa.array([aligned(s.as_py(), t.as_py(), fuzzy) for s, t in zip(left, right, strict=True)], pa.list_(pa.string()))
+
+    run.__annotations__ = {"left": pa.Array, "right": pa.Array, "return": pa.Array}  # arrow_udf reads them, and not as strings
+    return F.arrow_udf(run, "array<string>").asNondeterministic()(lines, titles)
 
 
 def headings_recovered(lines: DataFrame, bookmarks: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -89,4 +76,4 @@ def headings_recovered(lines: DataFrame, bookmarks: DataFrame, fuzzy: bool = Tru
     marks = by_page(bookmarks).withColumnsRenamed({"doc_id": "_d", "page": "_p"})
     both = pages.join(marks, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("page").eqNullSafe(F.col("_p")), "left").drop("_d", "_p")
     both = both.withColumn("titles", F.coalesce("titles", F.array().cast("array<struct<level:int,title:string>>")))
-    return alike(both, fuzzy).select("doc_id", "page", F.posexplode(aligned()).alias("place", "text"))
+    return both.select("doc_id", "page", with_headings("lines", "titles", fuzzy).alias("out")).select("doc_id", "page", F.posexplode("out").alias("place", "text"))

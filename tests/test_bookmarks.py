@@ -74,3 +74,21 @@ def test_titles_of_several_lines(spark):
     right = spark.createDataFrame([(1, 0, 0, 0, "The history ofall thetowns"), (1, 0, 1, 1, "1 Growth of the town")], "doc_id long, page long, ord long, level int, title string")
     got = [r.text for r in B.headings_recovered(left, right).orderBy("place").collect()]
     assert got == ["# The history ofall thetowns", "text", "1 Growth of th", "no more"]
+
+
+def test_a_line_is_compared_with_the_next_title_only(spark, monkeypatch):
+    pairs = []
+    monkeypatch.setattr(B, "ratio_reaches", lambda a, b, bar: pairs.append((a, b)))
+    lines, titles = [f"line number {i:04}" for i in range(200)], [{"level": 1, "title": f"some title {i:05}"} for i in range(200)]
+    assert B.aligned(lines, titles, True) == lines and len(pairs) == 200
+    left = spark.createDataFrame([(1, 0, 0, "x")], "doc_id long, page long, line long, text string")
+    right = spark.createDataFrame([(1, 0, 0, 0, "x")], "doc_id long, page long, ord long, level int, title string")
+    # and once: explode brings a filter along that would work a deterministic column out again
+    assert B.headings_recovered(left, right)._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_null_titles_and_levels(spark):
+    left = spark.createDataFrame([(1, 0, i, s) for i, s in enumerate(["One", None, "two", "Three"])] + [(2, 0, 0, "One"), (2, 0, 1, "two")], "doc_id long, page long, line long, text string")
+    right = spark.createDataFrame([(1, 0, 0, None, "one"), (1, 0, 1, 9, "Two"), (2, 0, 0, 0, "One"), (2, 0, 1, 0, None), (2, 0, 2, 0, "two")], "doc_id long, page long, ord long, level int, title string")
+    got = [r.text for r in B.headings_recovered(left, right).orderBy("doc_id", "place").collect()]
+    assert got == ["###### one", "", "###### Two", "Three", "# One", "two"]

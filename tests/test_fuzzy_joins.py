@@ -252,3 +252,14 @@ def test_numbers_of_whole_turns(spark, sf_small, monkeypatch):
     section_queries.number_nodes(t)
     monkeypatch.undo()
     assert check_numbers(given[0].collect(), section_queries.number_nodes(t)) > 10
+
+
+def test_ratio_reaches():
+    rng = random.Random(5)
+    for n in [0, 1, 3, 12, 60, 150, 198, 199, 200, 201, 260, 500] * 12:
+        letters = rng.choice(["ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz0123456789 "])
+        a = "".join(rng.choice(letters) for _ in range(n))
+        b = rng.choice([a, a[:4] + "#" + a[5:], made(rng, a), made(rng, made(rng, a)), a[::-1], "".join(rng.choice(letters) for _ in range(n)), a[n // 2 :] + a[: n // 2]])
+        score = 100.0 * SequenceMatcher(None, a, b).ratio()
+        for bar in (60.0, 90.0, score):
+            assert fuzzy.ratio_reaches(a, b, bar) == (score >= bar), (a, b, bar)
