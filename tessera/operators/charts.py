@@ -41,12 +41,12 @@ def valid_values(kind: Column, values: Column) -> Column:
 
 
 def _rungs(x: Column) -> Column:
-    return F.transform(F.array(*map(F.lit, LADDER)), lambda s: s * F.pow(F.lit(10.0), F.floor(F.log10(x))))
+    return let(F.pow(F.lit(10.0), F.floor(F.log10(x))), lambda scale: F.transform(F.array(*map(F.lit, LADDER)), lambda s: s * scale))
 
 
 def nice_ceil(x: Column) -> Column:
     """The first rung of the ladder, times a power of ten, that isn't under x; 1 where x is not positive."""
-    return F.when(x > 0, F.get(F.filter(_rungs(x), lambda s: s >= x), F.lit(0))).otherwise(1.0)
+    return let(x, lambda x: F.when(x > 0, F.get(F.filter(_rungs(x), lambda s: s >= x), F.lit(0))).otherwise(1.0))
 
 
 def nice_floor(x: Column) -> Column:
@@ -73,9 +73,8 @@ def y_range(values: Column, kind: Column) -> Column:
         pad = span * F.when(span / F.greatest(b, F.lit(1e-9)) < 0.25, TIGHT).otherwise(LOOSE)
 
         def stepped(v: Column) -> Column:
-            step = nice_ceil((v["hi"] - v["lo"]) / 6.0)
-            low = F.greatest(F.least(F.floor(v["lo"] / step) * step, a), F.lit(0.0))
-            return pair(low, F.greatest(F.ceil(v["hi"] / step) * step, b))
+            low = lambda step: F.greatest(F.least(F.floor(v["lo"] / step) * step, a), F.lit(0.0))
+            return let(nice_ceil((v["hi"] - v["lo"]) / 6.0), lambda step: pair(low(step), F.greatest(F.ceil(v["hi"] / step) * step, b)))
 
         return let(F.struct(F.when(zero, 0.0).otherwise(a - pad).alias("lo"), (b + pad * UP).alias("hi")), stepped)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.charts import let
+
 #: A citation of the form [[n]](url), and a name of a template.
 NUMBERED_LINK = r"\[\[([^\]]+)\]\]\([^)]+\)"
 TEMPLATE_NAME = r"^[\u4e00-\u9fa5a-zA-Z0-9_\-\.]+$"
@@ -17,12 +19,19 @@ def section_outline_valid(text: Column, section: Column) -> Column:
     Blank lines don't count; null text, null section and a text without parts are invalid.
     """
     n = section.cast("string")
-    lines = F.filter(F.transform(F.split(text, LINE_ENDS), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")), lambda x: x != "")
-    title = lambda x: F.regexp_like(x, F.concat(F.lit("^("), n, F.lit("\\.(?!\\d)\\s*|"), n, F.lit("\\s+)(?!\\d)")))
-    part = lambda x: ~title(x) & F.regexp_like(x, F.concat(F.lit("^"), n, F.lit("\\.\\d")))
-    first = F.array_min(F.transform(F.filter(lines, part), lambda x: F.regexp_extract(x, "^\\d+\\.(\\d+)", 1).cast("decimal(38,0)")))
-    stray = F.exists(lines, lambda x: x.rlike("\\d+\\.\\d+\\.\\d+") | (x.rlike("^\\d") & ~title(x) & ~part(x)))
-    return F.coalesce(~stray & (F.size(F.filter(lines, title)) == 1) & (first == 1), F.lit(False))
+    # a line is told once, by fixed expressions behind the number: one that holds it would be compiled for each line
+    lines = F.transform(F.split(F.regexp_replace(text, LINE_ENDS, "\n"), "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
+    numbered = lambda x, rest: x.startswith(n) & F.substr(x, F.length(n) + 1).rlike(rest)
+    told = lambda x: F.struct(x.alias("x"), x.rlike("^\\d").alias("digit"), numbered(x, "^(\\.(?!\\d)\\s*|\\s+)(?!\\d)").alias("title"), numbered(x, "^\\.\\d").alias("part"))
+
+    def valid(lines: Column) -> Column:
+        parts = F.filter(lines, lambda x: ~x["title"] & x["part"])
+        first = F.array_min(F.transform(parts, lambda x: F.regexp_extract(x["x"], "^\\d+\\.(\\d+)", 1).cast("decimal(38,0)")))
+        stray = F.exists(lines, lambda x: x["digit"] & ~x["title"] & ~x["part"])
+        return ~stray & (F.size(F.filter(lines, lambda x: x["title"])) == 1) & (first == 1)
+
+    third = text.rlike("\\d+\\.\\d+\\.\\d+")
+    return F.coalesce(~third & let(F.transform(lines, told), valid), F.lit(False))
 
 
 def to_last_heading(text: Column) -> Column:

@@ -81,6 +81,7 @@ def model_map(df: DataFrame, prompt: str, call: str | tuple, client=echo, batch:
     if schema is None:
         return out.withColumn("parsed", F.lit(None).cast("string")).withColumn("valid", F.coalesce(F.length("reply") > 0, F.lit(False)))
     bare = F.regexp_replace(F.regexp_replace("reply", "^\\s*```(?:json)?\\s*", ""), "\\s*```\\s*$", "")
-    parsed = F.from_json(bare, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    # what has no brace is no object; to find that out by parsing costs an exception a reply
+    parsed = F.when(F.contains(bare, F.lit("{")), F.from_json(bare, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     out = out.withColumn("parsed", parsed).withColumn("valid", F.coalesce(F.col("reply").isNotNull() & F.col("parsed").isNotNull() & F.col("parsed._bad").isNull(), F.lit(False)))
     return out.withColumn("parsed", F.when(F.col("valid"), F.col("parsed").dropFields("_bad")))
