@@ -119,7 +119,7 @@ def section_reports(t):
     numbers = '{"image_title": "t", "image_type": "bar", "unit": "u", "records": [["a", "1", "x"], ["b", "2", "x"], ["c", "4", "x"]]}'
     content = F.when(Q("l_partkey") % 3 == 0, numbers).otherwise("no numbers")
     lines = t("lineitem").select(Q("l_orderkey").cast("string").alias("report_id"), (Q("l_linenumber") % 2 + 1).cast("int").alias("section"), "l_linenumber", "l_partkey", "l_suppkey")
-    pos = F.row_number().over(team_window().partitionBy("report_id", "section")) - 1  # dealt as the sections are, so that they need no other shuffle
+    pos = F.row_number().over(team_window().partitionBy("report_id", "section")) - 1  # dealt by section, so that grouping them for calls needs no other shuffle
     docs = lines.select("report_id", "section", pos.alias("pos"), F.format_string("u%d", Q("l_partkey") % 20).alias("url"), Q("l_partkey").cast("string").alias("title"), content.alias("content"))
     sections = t("orders").select(Q("o_orderkey").cast("string").alias("report_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("section"), F.lit("T").alias("title"))
     made = report_flows.section_reports(sections, docs, {"classify": classifier, "section_outline": outliner, "section_report": writer})
